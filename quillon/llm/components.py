@@ -1,0 +1,39 @@
+"""Connected components by alternating large-star and small-star rounds over an edge table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillon.llm.scratch import cut, drop
+
+
+def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """edges (a, b) of longs -> (node, root) with root the least node of the component, for nodes with an edge.
+
+    Every round moves each node's links to its least neighbour; the number of rounds grows with the logarithm
+    of the largest component. The least neighbours come from partial aggregates, so a hub of any size costs a
+    row per task there. Each round's edges are a table in the shared folder."""
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    mark = _mark(now)
+    for _ in range(max_rounds):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(now)
+        was, mark, now = mark, _mark(new), new
+        if mark == was:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )
+
+
+def _mark(edges: DataFrame) -> tuple:
+    h = F.xxhash64("u", "v").cast("decimal(38,0)")
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h), F.bit_xor(F.xxhash64("v", "u"))).first())
