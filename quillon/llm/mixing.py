@@ -95,21 +95,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     plan = cut(plan, "plan")
     plan = F.broadcast(plan) if small else plan
     # Pareto's odds, and the documents of the last cell one by one.
-    odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("p") / (1 - F.col("p")))
-    tail = light.join(plan, F.col("_src").eqNullSafe(F.col("src"))).where((F.floor(F.col("_u") * CELLS) == F.col("end")) & (F.col("p") > 0))
-    ranked = Window.partitionBy("_src").orderBy(odds, F.col(id_col).asc_nulls_last(), "size")
-    tail = tail.withColumn("until", F.col("before") + F.sum("size").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
-    miss = F.struct(F.abs(F.col("lack") - F.col("until")).alias("miss"), F.col("until"), odds.alias("odds"), F.col(id_col).alias("id"), F.col("size").alias("z"))
-    cuts = tail.groupBy("_src").agg(F.min(miss).alias("m"), F.max("lack").alias("lack"), F.max("before").alias("before"))
+    odds = lambda p: (F.col("_u") / (1 - F.col("_u"))) / (p / (1 - p))
+    packed = lambda p: p.select(F.col("src").alias("_key"), F.struct(*p.columns).alias("_plan"))
+    tail = light.join(F.broadcast(packed(plan)) if small else packed(plan), F.col("_src").eqNullSafe(F.col("_key")))
+    tail = tail.where((F.floor(F.col("_u") * CELLS) == F.col("_plan.end")) & (F.col("_plan.p") > 0)).withColumn("_odds", odds(F.col("_plan.p")))
+    ranked = Window.partitionBy("_src").orderBy("_odds", F.col(id_col).asc_nulls_last(), "size")
+    tail = tail.withColumn("_until", F.col("_plan.before") + F.sum("size").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
+    miss = F.struct(F.abs(F.col("_plan.lack") - F.col("_until")).alias("miss"), F.col("_until").alias("until"), F.col("_odds").alias("odds"), F.col(id_col).alias("id"), F.col("size").alias("z"))
+    cuts = tail.groupBy("_src").agg(F.min(miss).alias("m"), F.max(F.col("_plan.lack") - F.col("_plan.before")).alias("short"))
     # The prefix that ends before this cell is a choice as well.
-    cuts = cuts.select(F.col("_src").alias("s"), F.when(F.col("m.miss") < F.col("lack") - F.col("before"), F.col("m")).alias("m"))
-    plan = plan.join(cuts, F.col("src").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = F.broadcast(plan) if small else plan
-    out = (rows if carry else light).join(plan, F.col("_src").eqNullSafe(F.col("src")))
-    at = F.floor(F.col("_u") * CELLS)
-    last = F.col("m.odds")
-    in_tail = F.coalesce((odds < last) | ((odds == last) & ((F.col(id_col) < F.col("m.id")) | (F.col(id_col).eqNullSafe(F.col("m.id")) & (F.col("size") <= F.col("m.z"))) | (F.col(id_col).isNotNull() & F.col("m.id").isNull()))), F.lit(False))
-    extra = F.when((F.col("p") <= 0) | (F.col("size") == 0), 0).when(F.col("end").isNull() | (at < F.col("end")), 1).when(at > F.col("end"), 0).when(in_tail, 1).otherwise(0)
-    out = out.withColumn("copies", (F.col("whole") + extra).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    cuts = cuts.select(F.col("_src").alias("s"), F.when(F.col("m.miss") < F.col("short"), F.col("m")).alias("m"))
+    plan = packed(plan.join(cuts, F.col("src").eqNullSafe(F.col("s")), "left").drop("s"))
+    out = (rows if carry else light).join(F.broadcast(plan) if small else plan, F.col("_src").eqNullSafe(F.col("_key")))
+    at, g = F.floor(F.col("_u") * CELLS), lambda c: F.col(f"_plan.{c}")
+    mine, last, i, i_last = odds(g("p")), g("m.odds"), F.col(id_col), g("m.id")
+    same_id = i.eqNullSafe(i_last) & (F.col("size") <= g("m.z"))
+    in_tail = F.coalesce((mine < last) | ((mine == last) & ((i < i_last) | same_id | (i.isNotNull() & i_last.isNull()))), F.lit(False))
+    extra = F.when((g("p") <= 0) | (F.col("size") == 0), 0).when(g("end").isNull() | (at < g("end")), 1).when(at > g("end"), 0).when(in_tail, 1).otherwise(0)
+    out = out.withColumn("copies", (g("whole") + extra).cast("long")).withColumn("source_size", g("source_size")).withColumn("target", g("target"))
     keep = [F.col(c) for c in names if c not in own]
-    return out.select(*keep, "size", "source_size", "target", "copies", "taken")
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*keep, *own)
