@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import cotrain, dartminhash, decontam, mixing, secrets
-from quillon.llm.scratch import cut
+from quillon.scratch import cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

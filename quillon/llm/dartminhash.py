@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.components import components
-from quillon.llm.scratch import cut
+from quillon.operators.components import components
+from quillon.scratch import cut
 from quillon.llm.words import WORD_BYTES, raw_texts
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 4, 0.8

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.scratch import cut
+from quillon.scratch import cut
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2

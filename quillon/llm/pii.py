@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.scratch import cut
+from quillon.scratch import cut
 from quillon.llm.spans import SPAN, matches, redacted
 
 KINDS = ("email", "ip", "card", "phone", "mail_masked", "phone_national", "ssn", "iban", "ip6")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import cotrain, dartminhash, decontam, html_extract, mixing, pii, quality_rules, secrets, tokens, warc
+from quillon.llm.oracles import ORACLE_SQL  # noqa: F401
 from quillon.llm.spans import count_kind, listed
 
 
@@ -25,7 +26,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dartminhash.dedup_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dartminhash.dedup_classes(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality_classifier, op8_token_counts, op9_quality_rules, op10_personal_data,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
