@@ -13,7 +13,7 @@ from quillon.plans.registry import query
 from quillon.sources.tables import table
 
 _HIGH_LOW = "CASE WHEN {0} >= {1} THEN 'high' WHEN {0} >= {2} THEN 'medium' ELSE 'low' END"
-_QTY, _SIZE, _PRICE, _DISC = (_HIGH_LOW.format(*x) for x in (("l_quantity", 34, 17), ("p_size", 34, 17), ("p_retailprice", 1200, 1000), ("l_discount", 0.07, 0.03)))
+_QTY, _SIZE, _PRICE, _DISC = (_HIGH_LOW.format(*x) for x in (("l_quantity", 34, 17), ("p_size", 34, 17), ("p_retailprice", 967, 933), ("l_discount", 0.07, 0.03)))
 _SIGN = "CASE l_returnflag WHEN 'R' THEN 'negative' WHEN 'A' THEN 'positive' ELSE 'mixed' END"
 _EDGE_SIGN = "CASE WHEN p_type IN ('SMALL','PROMO') THEN 'negative' WHEN p_type = 'ECONOMY' THEN 'mixed' ELSE 'positive' END"
 _MAG = "CASE {0} WHEN 'high' THEN 3.0 WHEN 'medium' THEN 2.0 ELSE 1.0 END"
@@ -74,9 +74,9 @@ def route_category(spark, d):
 
 @query(f"""
 SELECT o_orderkey AS article, n_name AS isin, 'exposure' AS route, concat_ws(':', c_mktsegment, n_name) AS via, 'mixed' AS direction,
-round({_WEIGHT("CASE WHEN n_regionkey >= 3 THEN 'high' WHEN n_regionkey >= 1 THEN 'medium' ELSE 'low' END", "CASE WHEN n_name < 'G' THEN 'high' WHEN n_name < 'M' THEN 'medium' ELSE 'low' END")} * 0.6::DOUBLE, 4) AS strength
+round({_WEIGHT("CASE WHEN n_regionkey >= 3 THEN 'high' WHEN n_regionkey >= 1 THEN 'medium' ELSE 'low' END", "CASE WHEN n_name < 'NATION_15' THEN 'high' WHEN n_name < 'NATION_20' THEN 'medium' ELSE 'low' END")} * 0.6::DOUBLE, 4) AS strength
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE o_totalprice > 200000 AND o_orderstatus <> 'P' AND n_name < 'M'""")
+WHERE o_totalprice > 200000 AND o_orderstatus <> 'P' AND n_name < 'NATION_20'""")
 def route_gated(spark, d):
     """Exposure counts only for scored items and live edges. The laboratory is market segment and nation."""
     orders, customer, nation = (table(spark, d, t) for t in ("orders", "customer", "nation"))
@@ -84,7 +84,7 @@ def route_gated(spark, d):
     articles = orders.where("o_orderstatus <> 'P'").join(lab, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("article"), "lab", F.greatest(F.col("o_totalprice") - 200000, F.lit(0)).alias("score"))
     edges = customer.select("c_mktsegment").distinct().crossJoin(F.broadcast(nation)).select(
         F.col("n_name").alias("isin"), F.concat_ws("|", "c_mktsegment", "n_name").alias("lab"), F.col("n_name").alias("kind"), F.expr(_HIGH_LOW.format("n_regionkey", 3, 1)).alias("magnitude"),
-        F.expr("CASE WHEN n_name < 'G' THEN 'high' WHEN n_name < 'M' THEN 'medium' ELSE 'low' END").alias("confidence"), F.lit(False).alias("is_dormant"),
+        F.expr("CASE WHEN n_name < 'NATION_15' THEN 'high' WHEN n_name < 'NATION_20' THEN 'medium' ELSE 'low' END").alias("confidence"), F.lit(False).alias("is_dormant"),
     )
     return J.exposure_route(articles, edges, 0.6).withColumn("via", F.concat_ws(":", F.substring_index("via", "|", 1), "isin"))
 
@@ -118,8 +118,8 @@ _WORDS = ("license", "gnu", "apache", "idiot", "menteí", "für", "est", "clown"
 _WORD_VALUES = ", ".join(f"({i}, '{w}')" for i, w in enumerate(_WORDS))
 
 
-@query(f"""SELECT doc_id, arg_min(w, i) AS via FROM documents, (VALUES {_WORD_VALUES}) t(i, w)
-WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || w || '([^\\p{{L}}\\p{{N}}_]|$)') GROUP BY doc_id""")
+@query(f"""SELECT doc_id, arg_min(w, i) AS via FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+') AS ts FROM documents), (VALUES {_WORD_VALUES}) t(i, w)
+WHERE list_contains(ts, w) GROUP BY doc_id""")
 def named_mention(spark, d):
     """The first of twelve names that a document has as a word."""
     words = spark.createDataFrame(list(enumerate(_WORDS)), "i int, w string").withColumn("pattern", bounded_pattern(F.col("w"), False))

@@ -114,10 +114,10 @@ def having_distinct(spark, d):
     return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.bool_and(F.col("l_quantity") > 2).alias("all_large")).where("suppliers >= 2")
 
 
-@query("SELECT p_brand FROM part GROUP BY 1 HAVING bool_and(p_retailprice > 900) ORDER BY 1")
+@query("SELECT p_brand FROM part GROUP BY 1 HAVING bool_and(p_retailprice > 905) ORDER BY 1")
 def forall_gate(spark, d):
     """A9."""
-    return table(spark, d, "part").groupBy("p_brand").agg(F.bool_and(F.col("p_retailprice") > 900).alias("ok")).where("ok").select("p_brand")
+    return table(spark, d, "part").groupBy("p_brand").agg(F.bool_and(F.col("p_retailprice") > 905).alias("ok")).where("ok").select("p_brand")
 
 
 _REVENUE = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"
@@ -169,11 +169,11 @@ def two_level_map(spark, d):
     return rows.withColumn("counts", text)
 
 
-@query("""WITH s AS (SELECT l_partkey, l_suppkey, max(round(l_extendedprice / l_quantity / 10, 4)) AS t FROM lineitem GROUP BY ALL), b AS (SELECT l_partkey, max(t) AS strength FROM s GROUP BY 1)
+@query("""WITH s AS (SELECT l_partkey, l_suppkey, max(floor(l_extendedprice / l_quantity / 100)) AS t FROM lineitem GROUP BY ALL), b AS (SELECT l_partkey, max(t) AS strength FROM s GROUP BY 1)
 SELECT l_partkey, strength, array_to_string(list_sort(list(l_suppkey)), ',') AS members FROM s JOIN b USING (l_partkey) WHERE t = strength GROUP BY ALL""")
 def tied_top(spark, d):
     """W4."""
-    rows = table(spark, d, "lineitem").withColumn("s", F.col("l_extendedprice") / F.col("l_quantity") / 10)
+    rows = table(spark, d, "lineitem").withColumn("s", F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 100).cast("double"))
     return W.tied_top(rows, "l_partkey", "l_suppkey", "s").select("l_partkey", "strength", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
 
 
@@ -244,12 +244,12 @@ def cohort_then_now(spark, d):
     return W.cohort(tops, rows, "period", "l_partkey", "q").select("l_partkey", "then", F.col("now").cast("long").alias("now"))
 
 
-_QUARTERS = """WITH q AS (SELECT l_partkey AS k, strftime(l_shipdate, '%Y-%m') AS period, sum(CAST(l_quantity AS BIGINT)) AS shares, round(max(l_extendedprice / l_quantity), 2) AS price FROM lineitem GROUP BY ALL)"""
+_QUARTERS = """WITH q AS (SELECT l_partkey AS k, strftime(l_shipdate, '%Y-%m') AS period, sum(CAST(l_quantity AS BIGINT)) AS shares, floor(max(l_extendedprice / l_quantity)) AS price FROM lineitem GROUP BY ALL)"""
 
 
 def _quarters(spark, d):
     rows = table(spark, d, "lineitem").withColumn("period", F.date_format("l_shipdate", "yyyy-MM"))
-    return rows.groupBy(F.col("l_partkey").alias("k"), "period").agg(F.sum(F.col("l_quantity").cast("long")).alias("shares"), F.round(F.max(F.col("l_extendedprice") / F.col("l_quantity")), 2).alias("price"))
+    return rows.groupBy(F.col("l_partkey").alias("k"), "period").agg(F.sum(F.col("l_quantity").cast("long")).alias("shares"), F.floor(F.max(F.col("l_extendedprice") / F.col("l_quantity"))).cast("double").alias("price"))
 
 
 @query(_QUARTERS + """, x AS (SELECT *, (shares - lag(shares) OVER (PARTITION BY k ORDER BY period)) * price AS m FROM q)
