@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,6 +135,15 @@ class Boosted:
         return p >= self.threshold
 
 
+def _split(has: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[float, int, float, float]:
+    """Gain, feature and both leaves' values (Newton's) of the best split of some rows."""
+    g1, h1 = g @ has, h @ has
+    g0, h0 = g.sum() - g1, h.sum() - h1
+    gain = g0 * g0 / (h0 + 1) + g1 * g1 / (h1 + 1)
+    i = int(np.argmax(gain))
+    return float(gain[i]), i, float(g0[i] / (h0[i] + 1)), float(g1[i] / (h1[i] + 1))
+
+
 def boost(rows: list[tuple[int, int, int, float]]) -> Boosted | None:
     """rows: (code, label, fold, count); fold 0 calibrates. None if a class is missing."""
     train = [(c, y, n) for c, y, f, n in rows if f] or [(c, y, n) for c, y, f, n in rows]
@@ -143,59 +153,44 @@ def boost(rows: list[tuple[int, int, int, float]]) -> Boosted | None:
     total = sum(n for *_, n in train)
     share = sum(n for _, y, n in train if y) / total
     start = math.log(share / (1 - share))
-    z = {c: start for c, _, _ in train}
+    code, y, n = (np.array(c) for c in zip(*train))
+    has = (code[:, None] >> np.arange(len(FEATURES)) & 1).astype(bool)
+    z = np.full(len(code), start)
     trees: list[tuple[int, int, int, list[float]]] = []
-    bits = range(len(FEATURES))
-
-    def leaf(part: list[tuple[int, int, float]]) -> tuple[float, float]:
-        """Newton's value and the gain of a leaf."""
-        g = h = 0.0
-        for c, y, n in part:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z[c]))))
-            g += n * (y - p)
-            h += n * p * (1 - p)
-        return g / (h + 1), g * g / (h + 1)
-
-    def split(part: list[tuple[int, int, float]]) -> tuple[float, int, float, float]:
-        best = (-1.0, 0, 0.0, 0.0)
-        for i in bits:
-            (v0, g0), (v1, g1) = leaf([r for r in part if not r[0] >> i & 1]), leaf([r for r in part if r[0] >> i & 1])
-            best = max(best, (g0 + g1, i, v0, v1), key=lambda b: (b[0], -b[1]))
-        return best
-
     for _ in range(TREES):
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        g, h = n * (y - p), n * p * (1 - p)
         best = None
-        for a in bits:
-            off, on = split([r for r in train if not r[0] >> a & 1]), split([r for r in train if r[0] >> a & 1])
-            if best is None or off[0] + on[0] > best[0] + 1e-12:
-                best = (off[0] + on[0], a, off, on)
+        for a in range(len(FEATURES)):
+            sides = [_split(has[on], g[on], h[on]) for on in (~has[:, a], has[:, a])]
+            gain = sides[0][0] + sides[1][0]
+            if best is None or gain > best[0] + 1e-9:
+                best = (gain, a, *sides)
         _, a, off, on = best
         tree = (a, off[1], on[1], [RATE * off[2], RATE * off[3], RATE * on[2], RATE * on[3]])
         trees.append(tree)
-        for c in z:
-            z[c] += tree[3][2 * (c >> a & 1) + (c >> (tree[2] if c >> a & 1 else tree[1]) & 1)]
+        second = np.where(has[:, a], has[:, tree[2]], has[:, tree[1]])
+        z = z + np.array(tree[3])[2 * has[:, a] + second]
     model = Boosted(trees, start, (1.0, 0.0), 1.1)
-    model.scale = _scale([(model.raw(c), y, n) for c, y, n in held])
-    chances = sorted({model.chance(c) for c, _, _ in held}, reverse=True)
-    for t in chances:
-        over = [(y, n) for c, y, n in held if model.chance(c) >= t]
-        if (sum(n for y, n in over if y) + 0.0) / sum(n for _, n in over) >= PRECISION:
-            model.threshold = max(t, 0.5)
+    raw, y, n = (np.array(c, dtype=float) for c in zip(*((model.raw(c), y, n) for c, y, n in held)))
+    model.scale = _scale(raw, y, n)
+    z = np.clip(model.scale[0] * raw + model.scale[1], -30, 30)
+    chance = 1 / (1 + np.exp(-z))
+    order = np.argsort(-chance, kind="stable")
+    good, seen, c = np.cumsum((y * n)[order]), np.cumsum(n[order]), chance[order]
+    ends = np.flatnonzero(np.append(c[1:] != c[:-1], True))  # rows of one chance are selected together
+    precise = ends[good[ends] / seen[ends] >= PRECISION]
+    if len(precise):
+        model.threshold = max(float(c[precise[-1]]), 0.5)
     return model
 
 
-def _scale(rows: list[tuple[float, int, float]]) -> tuple[float, float]:
+def _scale(raw: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Platt's scale by gradient steps, drawn towards (1, 0)."""
-    a, b = 1.0, 0.0
-    total = sum(n for *_, n in rows) or 1.0
+    a, b, x, share = 1.0, 0.0, np.clip(raw, -10, 10), n / (n.sum() or 1.0)
     for _ in range(200):
-        ga = gb = 0.0
-        for x, y, n in rows:
-            x = max(-10.0, min(10.0, x))
-            e = n / total * (y - 1 / (1 + math.exp(-max(-30.0, min(30.0, a * x + b)))))
-            ga += e * x
-            gb += e
-        a, b = max(0.2, a + 0.1 * (ga - 0.01 * (a - 1))), b + 0.1 * (gb - 0.01 * b)
+        e = share * (y - 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30))))
+        a, b = max(0.2, a + 0.1 * (float(e @ x) - 0.01 * (a - 1))), b + 0.1 * (float(e.sum()) - 0.01 * b)
     return a, b
 
 
