@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from quillon.llm.words import raw_texts, words
 
-MAX_LABELLED, MAX_POOL = 8000, 6000
+MAX_LABELLED, MAX_POOL = 6000, 4000
 ROUNDS, PSEUDO_WEIGHT, PSEUDO_SHARE, SURE = 3, 0.3, 0.1, 0.9
 MAX_WORDS, RIDGE, META_RIDGE, BINS, STEM = 300, 0.1, 0.9, 8, 4
 #: How much the odds of a sure negative lie under those of the class.
@@ -137,7 +137,7 @@ class TextView(View):
         coded = pc.dictionary_encode(lists.flatten())
         self.vocabulary = coded.dictionary
         self.codes = coded.indices.to_numpy()
-        self.rows = np.repeat(np.arange(self.n), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
 
     def fit(self, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Scores (logits) of all rows; y counts where weight isn't 0."""
