@@ -91,8 +91,8 @@ class Counter:
                 memo[p] = n
             else:
                 local[p] = n
-        get = memo.__getitem__
-        return [sum(map(get, ps)) if not any(p in local and len(p) > LONG for p in ps) else sum(known(p) for p in ps) for ps in pieces] if any(len(p) > LONG for p in parts) else [sum(map(get, ps)) for ps in pieces]
+        count = known if any(len(p) > LONG for p in parts) else memo.__getitem__
+        return [sum(map(count, ps)) for ps in pieces]
 
 
 _COUNTERS: dict[str, Counter] = {}
