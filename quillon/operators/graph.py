@@ -37,7 +37,7 @@ def alias_pairs(accounts: DataFrame, suffix: str, private: str = "noreply.github
     mails = accounts.select("login", "commits", F.explode("emails").alias("email")).where((F.col("email") != "") & ~F.col("email").endswith(private))
     best = mails.groupBy("email").agg(F.max_by("login", F.struct("commits", "login")).alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1")
     by_mail = mails.join(best, "email").where("login <> target").groupBy(F.col("login").alias("alias")).agg(F.max("target").alias("target"))
-    rest = accounts.join(by_mail, accounts.login == by_mail.alias, "left_anti").join(by_mail.select(F.col("target").alias("c")).distinct(), F.col("login") == F.col("c"), "left_anti")
+    rest = accounts.join(by_mail, accounts["login"] == by_mail["alias"], "left_anti").join(by_mail.select(F.col("target").alias("c")).distinct(), F.col("login") == F.col("c"), "left_anti")
     bare = rest.select(F.col("login").alias("alias"), F.lower(F.regexp_replace("login", suffix, "")).alias("bare")).where(F.col("bare") != F.lower("alias"))
     other = accounts.select(F.lower("login").alias("bare"), F.col("login").alias("target"))
     by_suffix = bare.join(other, "bare").where("alias <> target").select("alias", "target")

@@ -170,7 +170,7 @@ def register_paged_source(spark: SparkSession, name: str, schema: str, fetch: Ca
         def schema(self) -> str:
             return schema
 
-        def reader(self, _schema) -> DataSourceReader:
+        def reader(self, schema) -> DataSourceReader:  # noqa: ARG002  the engine passes it by name
             return Reader(self.options)
 
     spark.dataSource.register(Paged)
