@@ -9,10 +9,14 @@ the darts out over k coordinates and the earliest dart of each stays; a document
 throws again up to twice the rank. Two documents agree in a coordinate with the probability of their weighted
 Jaccard similarity.
 
-Bands of r coordinates give buckets. In every bucket all members are compared with its two leaders (the least id
-and the least in an order hashed anew for each band), never with each other; an exact comparison of the shingle
-regions confirms a link, and the confirmed links' connected components are the classes. Documents of equal text
-are one node from the start, by a digest of the text.
+Bands of r coordinates give buckets. In every bucket all members are first compared with its two leaders (the least
+id and the least in an order hashed anew for each band); an exact comparison of the shingle regions confirms a link,
+and the confirmed links' connected components are provisional classes. Then the members of a bucket that are of
+different provisional classes meet each other, in pairs of blocks of BLOCK members, so that any two texts that share a
+bucket have met or share a class; the components of all links are the classes. Of these pairs only those go to the
+exact comparison whose sizes and parities leave the similarity possible: two sets differ in at least as many regions
+as their parity bits do, so no link is lost. Documents of equal text are one node from the start, by a digest of the
+text.
 
 Defined results: a null or blank text is alone in its class; texts without words that are equal share a class;
 rows of null id take part, and the class id is the least id of the class that isn't null (null if there is none);
@@ -40,6 +44,10 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 4, 0.8
 STEP_BYTES = 1 << 20
 #: Links to one leader that share a task.
 PER_SALT = 2000
+#: Members of a bucket that are compared with those of another block in one key of a join.
+BLOCK = 1024
+#: 64-bit words of parities: a bit says whether an odd number of the text's regions fall on it.
+PARITIES = 16
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C55  # odd, so powers have inverses modulo 2**64
@@ -139,6 +147,15 @@ def _steps(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]
         yield batch.slice(at), texts[at:]
 
 
+def parities(cells: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """(n x PARITIES) parity bits of each text's regions."""
+    out = np.zeros((n, PARITIES), dtype=np.uint64)
+    bit = cells >> _U(32)
+    place = doc * PARITIES + ((bit >> _U(6)) % _U(PARITIES)).astype(np.int64)
+    np.bitwise_xor.at(out.reshape(-1), place, _U(1) << (bit & _U(63)))
+    return out
+
+
 def _lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(values, kind))
 
@@ -149,7 +166,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int
             cells, doc, weight = shingle_cells(texts, width)
             hashes = band_hashes(dart_signatures(cells, doc, weight, bands * rows), bands, rows)
             lists = _lists(hashes[weight > 0].reshape(-1), np.where(weight > 0, bands, 0), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "digest", "bands"])
+            odd = _lists(parities(cells, doc, len(texts)).view(np.int64).reshape(-1), np.full(len(texts), PARITIES), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(weight, pa.int64()), odd], names=["id", "digest", "bands", "weight", "odd"])
 
 
 def _regions(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -176,27 +194,52 @@ def near_duplicates(
     """Two tables. Nodes: id, digest, node for each row (a node is a distinct text, named by its least id; null for a
     blank one). Classes: node, class_id, links for the nodes in a confirmed link."""
     source = _nodes(docs, id_col, text)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("weight", T.LongType()), T.StructField("odd", T.ArrayType(T.LongType()))])
     sketches = cut(source.mapInArrow(lambda it: _sketch(it, bands, rows, width), schema), "sketches")
     stand_in = F.lit(_NO_ID) - F.pmod(F.xxhash64("digest"), F.lit(1 << 60))
     texts = sketches.where(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.coalesce(F.min("id"), stand_in).alias("node"), F.max("bands").alias("bands")
+        F.coalesce(F.min("id"), stand_in).alias("node"), F.max("bands").alias("bands"), F.max("weight").alias("weight"), F.max("odd").alias("odd")
     )
     texts = cut(texts, "texts")
     buckets = texts.select("node", F.posexplode("bands").alias("band", "bucket"))
     order = F.xxhash64("band", "node")
     leaders = buckets.groupBy("band", "bucket").agg(
         F.min("node").alias("least"), F.min(F.struct(order.alias("o"), F.col("node").alias("n"))).alias("first"), F.count(F.lit(1)).alias("size")
-    ).where("size > 1").select("band", "bucket", F.array_distinct(F.array("least", F.col("first.n"))).alias("leads"))
+    ).where("size > 1").select("band", "bucket", "size", F.array_distinct(F.array("least", F.col("first.n"))).alias("leads"))
     pairs = buckets.join(leaders, ["band", "bucket"]).select("node", F.explode("leads").alias("lead")).where("node <> lead")
     pairs = cut(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "pairs")
     links = confirmed(source, texts, pairs, similarity, width)
     found = components(links)
+    rest = cut(across_classes(texts, leaders, found, similarity).join(pairs, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        more = confirmed(source, texts, rest, similarity, width)
+        found = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        links = links.unionByName(more)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     nodes = sketches.join(texts.select("digest", "node"), "digest", "left").select("id", "digest", "node")
     return nodes, found.join(degree, "node", "left").select("node", F.col("root").alias("class_id"), "links")
 
 
+def across_classes(texts: DataFrame, leaders: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of nodes that share a bucket, aren't of one class yet and whose sizes and parities allow the similarity.
+
+    A bucket's leaders have met all its members before. The other members are dealt to blocks, and every two blocks
+    of a bucket are a key of their own, so that no task holds a whole bucket."""
+    named = texts.join(found, "node", "left").select("node", "weight", "odd", F.coalesce("root", "node").alias("class"), F.posexplode("bands").alias("band", "bucket"))
+    members = named.join(leaders.where("size > 3 or size > size(leads) + 1").select("band", "bucket", "leads"), ["band", "bucket"]).where(~F.array_contains("leads", F.col("node")))
+    open_ = members.groupBy("band", "bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("c0 <> c1")
+    dealt = members.join(open_.select("band", "bucket", "blocks"), ["band", "bucket"])
+    dealt = cut(dealt.select("band", "bucket", "blocks", "node", "class", "weight", "odd", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("k")), "members")
+    left = dealt.select("band", "bucket", F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)).alias("j"), F.col("node").alias("x"), F.col("class").alias("cx"), F.col("weight").alias("wx"), F.col("odd").alias("ox"))
+    right = dealt.select("band", "bucket", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"), F.col("node").alias("y"), F.col("class").alias("cy"), F.col("weight").alias("wy"), F.col("odd").alias("oy"))
+    fits = F.least("wx", "wy") >= F.floor(F.lit(similarity) * F.greatest("wx", "wy"))
+    # A similarity of s leaves at most (1 - s) / (1 + s) of both sizes to regions of one text only; one more for rounding.
+    differ = sum((F.bit_count(F.get("ox", F.lit(i)).bitwiseXOR(F.get("oy", F.lit(i)))) for i in range(PARITIES)), F.lit(0))
+    fits = fits & (differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("wx") + F.col("wy")) + 1)
+    both = left.join(right, ["band", "bucket", "i", "j"]).where("(i < j or x < y) and cx <> cy").where(fits)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def confirmed(source: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
     """The pairs of nodes whose regions have a Jaccard similarity of at least the given one.
 

@@ -71,6 +71,23 @@ def test_classes_match_brute_force(spark):
     assert got == classes(rows)
 
 
+def test_near_copies_inside_a_template_family(spark):
+    rng = random.Random(11)
+    template = [f"t{k}" for k in range(400)]
+
+    def change(words, places):
+        return [f"w{rng.randrange(10**9)}" if k in places else w for k, w in enumerate(words)]
+
+    rows = []
+    for _ in range(120):
+        base = change(template, at := rng.sample(range(0, 400, 5), 2))
+        rows += [(len(rows) + k, " ".join(change(base, rng.sample([p for p in range(0, 400, 5) if p not in at], 4)))) for k in range(2)]
+    want = classes(rows)
+    assert 100 < len(set(want.values())) < 240
+    got = {r.doc_id: r.class_id for r in dartminhash.dedup_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_null_ids_repeated_rows_and_clashing_names(spark):
     rows = [(None, "alpha beta gamma", "k", 1), (None, "alpha beta gamma", "k", 1), (7, "alpha beta gamma", "k", 2), (7, "alpha beta gamma", "k", 2), (9, None, "k", 3), (None, "only nulls here", "k", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node string, bands int")
