@@ -1,11 +1,12 @@
 """Secret scans in DataFrame expressions: known formats, and sliding-window entropy over candidate strings.
 
 Known formats: assignments to password-like names, access key ids, long hexadecimal runs. Beyond them, candidates
-are runs of at least WINDOW characters of [A-Za-z0-9+/_=-]. A candidate belongs to a character class (hexadecimal,
-mixed letters and digits, mixed-case letters); a window of WINDOW characters slides over it, and the Shannon entropy
+are runs of [A-Za-z0-9+/_=-]; known formats' spans are cut out of them, and each piece of at least WINDOW characters
+that is left is measured by itself. A piece belongs to a character class (hexadecimal, mixed letters and digits,
+mixed-case letters, letters with symbols); a window of WINDOW characters slides over it, and the Shannon entropy
 follows from counts that change by the character that enters and the one that leaves. The stretch from the first to
-the last window at or above the class's threshold is a span, unless the allow-list knows the candidate (UUIDs, slugs,
-paths, alphabet runs, placeholders, one repeated character) or a known format's span overlaps it.
+the last window at or above the class's threshold is a span, unless the allow-list knows the piece (UUIDs, slugs and
+paths of single-case or Capitalised words, alphabet runs, placeholders, one repeated character).
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned alike; ties in start follow
 the order of KINDS, then the end. Other columns pass through; only secret_spans is replaced, and by redact() the
@@ -28,11 +29,11 @@ HEX = r"[0-9a-f]{24,}"
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Bits a character; 20 distinct characters would have 4.32.
-THRESHOLDS = {"hex": 2.9, "mixed": 3.6, "cased": 4.0}
+THRESHOLDS = {"hex": 2.9, "mixed": 3.6, "cased": 4.0, "symbols": 4.0}
 #: Candidates that are known to be harmless.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"^[_=+/-]*[A-Za-z]+([_=+/-]+([A-Za-z]{1,16}|[0-9]{1,8}))*[_=+/-]*$",
+    r"^[_=+/-]*([a-z]+|[A-Z]+|[A-Z][a-z]+)([_=+/-]+([a-z]{1,16}|[A-Z]{1,16}|[A-Z][a-z]{1,15}|[0-9]{1,8}))*[_=+/-]*$",
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|lorem",
     r"(?i)0123456789|1234567890|abcdefghij|qwertyuiop",
     r"^(.)\1+$",
@@ -45,6 +46,7 @@ def char_class(s: Column) -> Column:
         F.when(s.rlike("^[0-9A-Fa-f]+$") & digit & letter, "hex")
         .when(digit & letter, "mixed")
         .when(s.rlike("[a-z]") & s.rlike("[A-Z]") & ~s.rlike("^[A-Z]?[a-z]+$") & ~s.rlike("[_=+/-]"), "cased")
+        .when(letter & s.rlike("[_=+/-]"), "symbols")
     )
 
 
@@ -77,17 +79,36 @@ def dense_stretch(s: Column, threshold: Column, window: int = WINDOW) -> Column:
     return F.aggregate(codes, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def pieces(found: Column, base: Column) -> Column:
+    """What sorted base spans leave of the found ones, in pieces of at least WINDOW characters."""
+
+    def of(c: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            match = F.substring(c["match"], (start - c["start"] + 1).cast("int"), (end - start).cast("int"))
+            one = F.array(F.struct(start.alias("start"), c["kind"].alias("kind"), end.alias("end"), match.alias("match")))
+            return F.when(end - start >= WINDOW, one).otherwise(F.array().cast(SPAN))
+
+        def step(acc: Column, b: Column) -> Column:
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
+
+        over = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        zero = F.struct(c["start"].alias("at"), F.array().cast(SPAN).alias("out"))
+        rest = F.aggregate(over, zero, step, lambda acc: F.concat(acc["out"], piece(acc["at"], c["end"])))
+        return F.when(F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])), rest).otherwise(F.array(c))
+
+    return F.flatten(F.transform(found, of))
+
+
 def entropy_spans(text: Column, base: Column, kind: int = 3) -> Column:
-    """Spans of dense stretches that no base span overlaps."""
-    free = lambda m, _: char_class(m).isNotNull() & ~allowed(m)
-    found = matches(text, CANDIDATE, kind, free)
+    """Spans of dense stretches in what base spans leave of the candidates."""
+    free = lambda s: char_class(s["match"]).isNotNull() & ~allowed(s["match"])
+    found = F.filter(pieces(matches(text, CANDIDATE, kind), base), free)
     threshold = lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in THRESHOLDS.items() for x in kv]), char_class(m))
     dense = F.transform(found, lambda s: F.struct(s.alias("s"), dense_stretch(s["match"], threshold(s["match"])).alias("d")))
     dense = F.filter(dense, lambda x: x["d"]["first"].isNotNull())
     out = F.transform(dense, lambda x: F.struct(
         (x["s"]["start"] + x["d"]["first"]).alias("start"), F.lit(kind).alias("kind"), (x["s"]["start"] + x["d"]["last"] + WINDOW).alias("end"), x["s"]["match"].alias("match")))
-    clear = F.filter(out, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.when(F.coalesce(text.rlike(CANDIDATE), F.lit(False)), clear).otherwise(F.array().cast(SPAN))
+    return F.when(F.coalesce(text.rlike(CANDIDATE), F.lit(False)), out).otherwise(F.array().cast(SPAN))
 
 
 def allowed(s: Column) -> Column:
