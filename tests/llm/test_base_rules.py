@@ -183,6 +183,31 @@ def test_outliers_are_rejected_and_clean_texts_kept(spark):
     assert all(out[i] for i in range(900)) and not any(out[1000 + i] for i in range(20))
 
 
+def test_planted_repeats_and_lengths_are_rejected(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abdegiklmnoprstu") for _ in range(rng.randint(3, 8)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    clean = lambda: "\n".join(words(rng.randint(8, 15)) for _ in range(rng.randint(8, 30)))
+
+    def lines():
+        few = [word() for _ in range(12)]
+        return "\n".join([words(60), *(rng.choice(few) for _ in range(150))])
+
+    def both():
+        again = words(10)
+        return "\n".join([words(30), words(30), *[again] * 5])
+
+    data = [(i, "en", "s", clean()) for i in range(1000)]
+    data += [(1000 + i, "en", "s", lines()) for i in range(20)] + [(1020 + i, "en", "s", both()) for i in range(20)] + [(1040 + i, "en", "s", words(4000)) for i in range(5)]
+    once = "\n".join([words(12)] * 2 + [words(12) for _ in range(14)])
+    out = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame([*data, (2000, "en", "s", once)], "doc_id long, lang string, source string, text string")).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert sum(out[i].kept for i in range(1000)) >= 990 and out[2000].kept
+    assert [i for i in range(1000, 1045) if out[i].kept] == []
+
+
 def test_op8(spark, folder, sf_dir):
     from tokenizers import Tokenizer
 
