@@ -120,6 +120,20 @@ def bylines(rows: DataFrame) -> DataFrame:
     )
 
 
+#: An institution whose lower-cased name holds one of them is a tracked lab itself.
+LAB_WORDS = ("anthropic", "openai", "deepmind", "google", "meta", "facebook", "fair", "mistral", "deepseek", "xai")
+
+
+def survey_counts(announcements: DataFrame, people: DataFrame, top: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Announcements per lab, affiliations per lab and name, and the commonest institutions that are no lab.
+
+    announcements: lab; people: lab, affiliations (array), a row per person in the lab's register. Ties go by name."""
+    by_lab = announcements.groupBy("lab").agg(F.count(F.lit(1)).alias("n"))
+    counts = people.select("lab", F.explode("affiliations").alias("name")).groupBy("lab", "name").agg(F.count(F.lit(1)).alias("n"))
+    outside = counts.where(~F.lower("name").rlike("|".join(LAB_WORDS))).groupBy("name").agg(F.sum("n").alias("n"))
+    return by_lab, counts, outside.orderBy(F.desc("n"), "name").limit(top)
+
+
 def outside_organisations(rows: DataFrame) -> DataFrame:
     """Rows name, article, fellow, organisations (array)."""
     each = rows.select("name", "article", "fellow", F.explode("organisations").alias("organisation"))

@@ -39,3 +39,14 @@ def test_feeds_and_allocation(spark):
     people = spark.createDataFrame([(1, "Ann"), (2, "Bob")], "id long, name string")
     evidence = spark.createDataFrame([(2, "https://x.org/annex")], "person_id long, ref_url string")
     assert [r.id for r in V.register_view(people, evidence, "ANN").collect()] == [1, 2] and V.register_view(people, evidence, " ").count() == 0
+
+
+def test_survey_counts(spark):
+    from quillon.operators import aggregates as A
+
+    told = spark.createDataFrame([("a",), ("b",), ("a",)], "lab string")
+    papers = spark.createDataFrame([("a", ["MIT", "Google DeepMind"]), ("a", ["MIT"]), ("b", ["MIT", "ETH", "Fairfield"]), ("b", ["CMU"]), ("b", None)], "lab string, affiliations array<string>")
+    by_lab, counts, commonest = A.survey_counts(told, papers, top=2)
+    assert sorted(map(tuple, by_lab.collect())) == [("a", 2), ("b", 1)]
+    assert sorted(map(tuple, counts.collect())) == [("a", "Google DeepMind", 1), ("a", "MIT", 2), ("b", "CMU", 1), ("b", "ETH", 1), ("b", "Fairfield", 1), ("b", "MIT", 1)]
+    assert [tuple(r) for r in commonest.collect()] == [("MIT", 3), ("CMU", 1)]
