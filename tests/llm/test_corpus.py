@@ -206,6 +206,64 @@ def test_classifier_without_labels_or_rows(spark):
     assert cotrain.score(df, nulls).where("keep").count() == 2
 
 
+def test_classifier_sums_and_scores_by_hand(spark):
+    """The executors' sums against one sum over all rows, and every score against its model, term by term."""
+    import math
+
+    docs, labels = labelled(700, 9)
+    docs += [(2000, "long " * 200000, "en", "src1"), (2001, "", "en", "src1"), (None, "nasty rotten x", "en", None), (3, docs[3][1], "en", "src2")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    known = spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int")
+    coder, heads = cotrain.fit(df, known)
+    bad, words = heads["toxic"], {w: i for w, i in coder.words.items()}
+    assert {b"nasty", b"vile", b"rotten"} <= set(words) and len(set(bad.columns["text"])) == len(bad.columns["text"])
+    logistic = lambda z: 1 / (1 + math.exp(-z))
+    for r in cotrain.score(df.withColumn("labelled", df.lang).withColumn("text2", df.text), known).collect():
+        raw = r.text.encode()
+        ws = WORD.findall(r.text.lower())
+        seen = cotrain.content(raw, [w.encode() for w in ws])
+        cells = coder.cells(cotrain.layout(raw, [w.encode() for w in ws]), r.lang, r.source)
+        z = {}
+        for view, mine in (("text", {words[w] for w in seen if w in words}), ("meta", set(cells))):
+            b = bad.beta[view]
+            z[view] = b[-1] + sum(b[k] for k, c in enumerate(bad.columns[view]) if c in mine)
+        a, m, c = bad.stack
+        assert abs(r.p_toxic - logistic(a * z["text"] + m * z["meta"] + c)) < 1e-9 and r.keep == (r.p_low < 0.5 and r.p_toxic < 0.5)
+    rng = np.random.default_rng(1)
+    rows = [tuple(np.flatnonzero(rng.random(coder.widths[v]) < 0.2).tolist() for v in cotrain.VIEWS) for _ in range(3000)]
+    pool = spark.createDataFrame(rows, "text array<int>, meta array<int>").repartition(7)
+    got = cotrain.lessons(pool, coder.widths, heads)
+    x = {v: cotrain._dense([r[k] for r in rows], coder.widths[v]) for k, v in enumerate(cotrain.VIEWS)}
+    checked = 0
+    for name, head in heads.items():
+        z = head.logits(x)
+        for teacher, pupil in (("text", "meta"), ("meta", "text")):
+            p = 1 / (1 + np.exp(-(head.scale[teacher][0] * z[teacher] + head.scale[teacher][1])))
+            yes, no = head.sure(p)
+            use = yes | no
+            if use.any():
+                one = np.hstack([x[pupil][:, head.columns[pupil]], np.ones((len(rows), 1))])[use]
+                q = 1 / (1 + np.exp(-one @ head.beta[pupil]))
+                lesson = got[name, pupil]
+                assert lesson.documents == use.sum() and np.allclose(lesson.gradient, one.T @ (yes[use] - q)) and np.allclose(lesson.curvature, one.T @ np.diag(np.maximum(q * (1 - q), 1e-5)) @ one)
+                checked += 1
+            else:
+                assert (name, pupil) not in got
+    assert checked
+
+
+def test_pseudo_labels_teach(spark):
+    """Few labels: the views are right more often after they have taught each other on the whole pool."""
+    docs, labels = labelled(1500, 12)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    known = spark.createDataFrame(labels[:120], "doc_id long, quality int, toxic int")
+    right = {}
+    for rounds in (0, 3):
+        out = {r.doc_id: r for r in cotrain.score(df, known, rounds=rounds).collect()}
+        right[rounds] = sum((out[i].p_toxic >= 0.5) == (t == 1) and (out[i].p_low >= 0.5) == (q == 0) for i, q, t in labels[120:])
+    assert right[3] >= right[0] and right[3] > 0.95 * 1380
+
+
 def test_boosted_trees_learn_and_express_the_same(spark):
     from pyspark.sql import functions as F
 
