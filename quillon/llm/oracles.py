@@ -32,7 +32,7 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM documents LEFT JOIN t
 
 OP4 = f"""
 WITH d AS (SELECT doc_id, source AS src, len(list_filter(string_split(translate(coalesce(text, ''), E'\\t\\n\\x0b\\f\\r', '     '), ' '), lambda x: x <> '')) AS size,
- (CAST(('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / {float(1 << 52)!r}::DOUBLE AS u FROM documents),
+ (CAST(('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / {float(1 << 52)!r}::DOUBLE AS u FROM documents),
 s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 n AS (SELECT *, row_number() OVER (ORDER BY src IS NULL, encode(src)) - 1 AS nth FROM s),
 w AS (SELECT *, CASE nth % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap FROM n),
@@ -40,11 +40,20 @@ f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, nth ROWS BETWEEN UNBOU
  1.5::DOUBLE * sum(source_size) OVER () AS budget FROM w),
 v AS (SELECT *, (budget - fb) / wl AS level FROM f), o AS (SELECT arg_min(level, (cap / w, nth)) AS last FROM v WHERE cap >= level * w),
 g AS (SELECT src, source_size, CASE WHEN last IS NULL THEN cap ELSE least(cap, last * w) END AS target FROM v, o),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM g), q2 AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS lack FROM q),
-x AS (SELECT doc_id, size, source_size, target, whole, p, lack, d.src AS src, row_number() OVER (PARTITION BY d.src ORDER BY CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END, doc_id, size) AS rank,
- sum(size) OVER (PARTITION BY d.src ORDER BY CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END, doc_id, size ROWS UNBOUNDED PRECEDING) AS until FROM d JOIN q2 ON d.src IS NOT DISTINCT FROM q2.src),
-c AS (SELECT src, arg_min(rank, (miss, rank)) AS cut FROM (SELECT src, rank, abs(lack - until) AS miss FROM x UNION ALL SELECT DISTINCT src, 0, abs(lack) FROM x) GROUP BY 1)
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN p > 0 AND rank <= cut THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM x JOIN c ON x.src IS NOT DISTINCT FROM c.src"""
+k AS (SELECT src, length(bin(size)) - 1 AS k, CAST(sum(size) AS BIGINT) AS words FROM d WHERE size > 0 GROUP BY ALL),
+kw AS (SELECT k.src AS src, k, words, 2.0::DOUBLE * words AS cap, (k + 1) * words::DOUBLE AS w, target FROM k JOIN g ON k.src IS NOT DISTINCT FROM g.src),
+kf AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY src ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fb,
+ sum(w) OVER (PARTITION BY src) - coalesce(sum(w) OVER (PARTITION BY src ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wl FROM kw),
+kv AS (SELECT *, (target - fb) / wl AS level FROM kf), ko AS (SELECT src, arg_min(level, (cap / w, k)) AS last FROM kv WHERE cap >= level * w GROUP BY 1),
+r AS (SELECT kv.src AS src, k, words, (CASE WHEN last IS NULL THEN cap ELSE least(cap, last * w) END) / words AS rate FROM kv LEFT JOIN ko ON kv.src IS NOT DISTINCT FROM ko.src),
+l AS (SELECT g.src AS src, source_size, target, target - coalesce(whole, 0) AS lack FROM g LEFT JOIN (SELECT src, sum(floor(rate) * words) AS whole FROM r GROUP BY 1) q ON g.src IS NOT DISTINCT FROM q.src),
+x AS (SELECT doc_id, size, u, source_size, target, lack, l.src AS src, coalesce(rate, 0) AS rate, coalesce(rate, 0) - floor(coalesce(rate, 0)) AS p
+ FROM d JOIN l ON d.src IS NOT DISTINCT FROM l.src LEFT JOIN r ON d.src IS NOT DISTINCT FROM r.src AND size > 0 AND r.k = length(bin(size)) - 1),
+y AS (SELECT *, CASE WHEN p > 0 THEN ((u / (1 - u)) / (p / (1 - p))) / (1 + (u / (1 - u)) / (p / (1 - p))) END AS odds FROM x),
+z AS (SELECT *, dense_rank() OVER (PARTITION BY src ORDER BY odds, doc_id, size) AS rank, sum(size) OVER (PARTITION BY src ORDER BY odds, doc_id, size) AS until FROM y WHERE odds IS NOT NULL),
+c AS (SELECT src, arg_min(rank, (miss, rank)) AS cut FROM (SELECT src, rank, abs(lack - until) AS miss FROM z UNION ALL SELECT DISTINCT src, 0, abs(lack) FROM z) GROUP BY 1)
+SELECT doc_id, size, source_size, target, CAST(floor(rate) * size AS BIGINT) AS taken FROM y WHERE odds IS NULL
+UNION ALL SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN rank <= cut THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM z JOIN c ON z.src IS NOT DISTINCT FROM c.src"""
 
 _GROUP = "CAST(('0x' || substr(h, {0}, 5)) AS INTEGER)"
 _LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_GROUP.format(5 * g + 1)} >> {shift}) & 31) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0))

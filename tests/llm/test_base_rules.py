@@ -296,3 +296,18 @@ def test_mix_carries_all_columns(spark):
     out = mixing.mix(docs, carry=True)
     assert out.count() == 4 and {"p", "text", "taken"} <= set(out.columns)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mix_includes_longer_documents_more_often(spark):
+    """Copies follow the length class, null ids are parted by their texts, and equal rows go in together."""
+    docs = [(i, "w " * (2 if i % 2 else 40), s) for i in range(2000) for s in ("a", "b", "c") if s != "c" or i < 1400]
+    docs += [(None, f"x{i} y", "b") for i in range(300)] + [(7000, "p q r s", "b")] * 40
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    out = mixing.mix(df).collect()
+    mean = lambda s, z: (lambda got: sum(got) / len(got))([r.copies for r in out if r.size == z and r.source_size == s])
+    for size in {r.source_size for r in out}:
+        target = next(r.target for r in out if r.source_size == size)
+        assert abs(sum(r.taken for r in out if r.source_size == size) - target) <= 80
+        if target < 2 * size - 1:  # classes 1 and 5 are worth 2 and 6
+            assert abs(mean(size, 40) / mean(size, 2) - min(3, 2 / mean(size, 2))) < 0.35
+    assert len({r.copies for r in out if r.doc_id is None}) > 1 and len({r.copies for r in out if r.doc_id == 7000}) == 1
