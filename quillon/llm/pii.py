@@ -1,14 +1,15 @@
 """Personal data by boosted trees over generated candidates, in DataFrame operations only.
 
 Generators of high recall propose spans, which may overlap: four known formats (email, ip, card, phone) and looser
-ones (masked mail addresses, national phone numbers, social security numbers, IBANs, IPv6). Known formats with a
-check decide for themselves; those spans always stay. The looser ones are up to a classifier: each candidate has a
-code of format features (digits, separators, prefix, length, its kind's own check) and context features (neighbouring
-characters, words before it that speak for or against personal data). Gradient boosting of depth-two trees learns from
-candidates whose label is known: known formats that pass or fail their check, and decoys such as dates and versions,
-which are never personal. It needs only the number of candidates for each code, label and fold, a table of at most
-2 ** (features + 2) rows however large the corpus is, aggregated over all documents. A scale fitted on the held-out
-fold calibrates the scores, and the threshold is the least one whose precision there is PRECISION.
+ones (masked mail addresses, national phone numbers, social security numbers, IBANs, IPv6). A known format whose check
+passes (octets, Luhn, number of digits) decides for itself; those spans always stay. The looser ones, where their own
+check (ranges, remainder) doesn't rule them out, are up to a classifier: each candidate has a code of format features
+(digits, separators, prefix, length) and context features (neighbouring characters, words before it that speak for or
+against personal data). Neither a candidate's kind nor the outcome of its check is a feature. Gradient boosting of
+depth-two trees learns from candidates whose label the check tells: known formats and IBANs that pass or fail it, and decoys such
+as dates and versions, which are never personal. It needs only the number of candidates for each code, label and fold,
+a table of at most 2 ** (features + 2) rows however large the corpus is, aggregated over all documents. A scale fitted
+on the held-out fold calibrates the scores, and the threshold is the least one whose precision there is PRECISION.
 A loose candidate at or above it becomes a span if no known-format span overlaps it; of loose ones that overlap each
 other, the first stays.
 
@@ -29,7 +30,7 @@ from quillon.scratch import cut
 from quillon.llm.spans import SPAN, matches, redacted
 
 KINDS = ("email", "ip", "card", "phone", "mail_masked", "phone_national", "ssn", "iban", "ip6")
-DECOY = len(KINDS)
+DECOY, IBAN_KIND = len(KINDS), 7
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
@@ -44,7 +45,7 @@ DECOYS = r"(?<![0-9A-Za-z.:/+-])[0-9]{1,4}(?:[./:-][0-9]{1,4}){1,2}(?![0-9A-Za-z
 ANY = r"[0-9@]|[\[(]\x20?(?:at|AT)\x20?[\])]"
 FOR = r"(?i)(?:phone|tel|call|mobile|fax|mail|contact|ssn|social|card|iban|account|address|name|reach)\W{0,6}\w{0,6}\W{0,3}$"
 AGAINST = r"(?i)(?:version|ver|v|order|isbn|invoice|total|page|section|figure|fig|table|no|nr|chapter|eur|usd|[$\u20ac])\W{0,4}$"
-FEATURES = ("digits10", "digits13", "separated", "plus", "at", "letters", "left_word", "right_word", "speaks_for", "speaks_against", "long", "check")
+FEATURES = ("digits7", "digits10", "digits13", "separated", "plus", "at", "letters", "left_word", "right_word", "after_colon", "speaks_for", "speaks_against", "long")
 TREES, RATE, PRECISION, CONTEXT = 40, 0.3, 0.98, 24
 
 
@@ -98,8 +99,8 @@ def described(text: Column, spans: Column) -> Column:
         left = F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(CONTEXT)).cast("int"))
         right = F.substring(text, (s["end"] + 1).cast("int"), F.lit(1))
         passes = check(kind, m)
-        bits = [n >= 10, n >= 13, m.rlike(r"[0-9)][\x20().-]+[0-9(]"), m.startswith("+"), m.rlike(r"(?i)@|[\[(]\x20?at"), m.rlike("[A-Za-z]"),
-                left.rlike(r"[\p{L}\p{N}_]$"), right.rlike(r"^[\p{L}\p{N}_]"), left.rlike(FOR), left.rlike(AGAINST), F.length(m) >= 12, passes]
+        bits = [n >= 7, n >= 10, n >= 13, m.rlike(r"[0-9)][\x20().-]+[0-9(]"), m.startswith("+"), m.rlike(r"(?i)@|[\[(]\x20?at"), m.rlike("[A-Za-z]"),
+                left.rlike(r"[\p{L}\p{N}_]$"), right.rlike(r"^[\p{L}\p{N}_]"), left.rlike(r"[:=]\x20?$"), left.rlike(FOR), left.rlike(AGAINST), F.length(m) >= 12]
         code = F.lit(0)
         for i, b in enumerate(bits):
             code = code + F.when(b, 1 << i).otherwise(0)
@@ -194,10 +195,15 @@ def _scale(raw: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]
     return a, b
 
 
-def fit(found: DataFrame, column: str = "found") -> Boosted | None:
-    """From the described candidates of all documents. Labels: known formats by their check, decoys never."""
-    rows = found.select(F.explode(column).alias("c")).where((F.col("c.kind") <= 3) | (F.col("c.kind") == DECOY))
+def fit(found: DataFrame, column: str = "_found") -> Boosted | None:
+    """From the described candidates of all documents. Labels: known formats and IBANs, whose remainder is as telling, by their check; decoys never.
 
+    A number that fails one kind's check but is a part of another kind's candidate (the digits of a phone number are no
+    card) tells nothing and is left out."""
+    good = F.filter(column, lambda o: o["passes"] & (o["kind"] < DECOY))
+    apart = lambda s: ~F.exists(good, lambda o: (o["kind"] != s["kind"]) & (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    told = F.filter(column, lambda s: F.when((s["kind"] <= 3) | (s["kind"] == IBAN_KIND), s["passes"] | apart(s)).otherwise((s["kind"] == DECOY) & apart(s)))
+    rows = found.select(F.explode(told).alias("c"))
     label = F.when(F.col("c.kind") == DECOY, 0).otherwise(F.col("c.passes").cast("int"))
     fold = F.when(F.pmod(F.xxhash64(F.col("c.start"), F.col("c.end"), F.col("c.code")), F.lit(4)) == 0, 0).otherwise(1)
     counts = rows.groupBy(F.col("c.code").alias("code"), label.alias("label"), fold.alias("fold")).agg(F.count(F.lit(1)).alias("n"))
@@ -223,21 +229,21 @@ def _text(text: str) -> Column:
 
 
 def describe(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the column found of described candidates."""
+    """docs with the column _found of described candidates."""
     rows = docs.withColumn("_candidates", candidates(_text(text)))
-    return rows.withColumn("found", described(_text(text), F.col("_candidates"))).drop("_candidates")
+    return rows.withColumn("_found", described(_text(text), F.col("_candidates"))).drop("_candidates")
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with pii_spans: sorted structs of start, kind (a place in KINDS) and end. One pass over texts."""
-    found = cut(describe(docs.drop("pii_spans", "found"), text).drop(text), "candidates")
-    return found.withColumn("pii_spans", chosen(F.col("found"), fit(found))).drop("found")
+    found = cut(describe(docs.drop("pii_spans"), text).drop(text), "candidates")
+    return found.withColumn("pii_spans", chosen(F.col("_found"), fit(found))).drop("_found")
 
 
 def redact(docs: DataFrame, text: str = "text", marker: str = "[PII]") -> DataFrame:
     """docs with all personal data replaced in the text; texts are read twice, to fit and to replace."""
-    model = fit(describe(docs.select(text), text).select("found"))
-    rows = describe(docs.drop("found"), text).withColumn("_spans", chosen(F.col("found"), model))
+    model = fit(describe(docs.select(text), text).select("_found"))
+    rows = describe(docs, text).withColumn("_spans", chosen(F.col("_found"), model))
     clean = redacted(F.col(text), F.col("_spans"), marker)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

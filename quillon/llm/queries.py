@@ -43,7 +43,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secret_spans")
     counts = [count_kind(spans, k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS[:3])]
-    return rows.select("doc_id", *counts, _digest(spans, secrets.KINDS, 3).alias("base_sha256"), listed(spans, secrets.KINDS).alias("spans"))
+    return rows.select("doc_id", *counts, _digest(spans, secrets.KINDS, 3).alias("base_sha256"), listed(spans, secrets.KINDS).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.detect(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("pii_spans")
     counts = [count_kind(spans, k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])]
-    return rows.select("doc_id", *counts, _digest(spans, pii.KINDS, 4).alias("base_sha256"), listed(spans, pii.KINDS).alias("spans"))
+    return rows.select("doc_id", *counts, _digest(spans, pii.KINDS, 4).alias("base_sha256"), listed(spans, pii.KINDS).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

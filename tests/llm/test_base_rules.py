@@ -311,3 +311,69 @@ def test_mix_includes_longer_documents_more_often(spark):
         if target < 2 * size - 1:  # classes 1 and 5 are worth 2 and 6; a few long documents more or less move many short ones
             assert abs(mean(size, 40) / mean(size, 2) - min(3, 2 / mean(size, 2))) < 0.7
     assert len({r.copies for r in out if r.doc_id is None}) > 1 and len({r.copies for r in out if r.doc_id == 7000}) == 1
+
+
+def planted_private(n, seed):
+    """(text, true loose spans): known formats, IBANs and decoys in telling places, and loose formats in both sorts of places."""
+    import random
+
+    rng = random.Random(seed)
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(rng.choice("abdegiklmnoprstu") for _ in range(rng.randint(3, 8)))
+
+    def iban():
+        body = d(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    def card():
+        body = "4" + d(14)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    for_, against = ("phone: ", "call ", "tel. ", "contact ", "account: "), ("order no ", "invoice ", "version ", "page ", "total ")
+    known = (lambda: f"{word()}@{word()}.org", lambda: "+1 (" + d(3) + ") 555-" + d(4), lambda: "+49 30 " + d(7), card, iban)
+    loose = (lambda: f"{rng.randint(201, 899)}-{rng.randint(201, 899)}-{d(4)}", lambda: f"{rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", iban,
+             lambda: f"{word()} [at] {word()} [dot] org", lambda: ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8)))
+    out = []
+    for _ in range(n):
+        parts, spans = [], []
+        for _ in range(rng.randint(2, 5)):
+            parts.append(" ".join(word() for _ in range(rng.randint(4, 9))) + " ")
+            kind = rng.randrange(4)
+            if kind == 0:
+                x = rng.choice(known)()
+                parts.append(rng.choice(for_))
+                if x.startswith("DE"):
+                    spans.append((len("".join(parts)), len("".join(parts)) + len(x)))
+                parts.append(x)
+            elif kind == 1:
+                parts += [rng.choice(against), rng.choice((f"{d(4)}-{d(2)}-{d(2)}", f"{d(1)}.{d(2)}.{d(1)}", d(15), "+" + d(3) + "-" + d(5), f"{d(3)}.{rng.randint(300, 999)}.{d(3)}.{d(3)}"))]
+            elif kind == 2:
+                parts.append(rng.choice(for_))
+                x = rng.choice(loose)()
+                spans.append((len("".join(parts)), len("".join(parts)) + len(x)))
+                parts.append(x)
+            else:
+                parts += [rng.choice(against), rng.choice(loose[:2])()]
+            parts.append(" ")
+        out.append(("".join(parts), spans))
+    return out
+
+
+def test_trees_select_planted_loose_spans(spark):
+    """Loose formats after words that speak for personal data are found, the same formats after others are not."""
+    data = planted_private(1500, 6)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")
+    got = {r.doc_id: {(s.start, s.end) for s in r.pii_spans if s.kind > 3} for r in pii.detect(df).collect()}
+    want = {i: set(spans) for i, (_, spans) in enumerate(data)}
+    caught = sum(len(got[i] & want[i]) for i in want)
+    assert caught / sum(map(len, want.values())) > 0.9 and caught / sum(map(len, got.values())) > 0.9
+
+
+def test_span_operators_pass_columns_and_take_nothing(spark):
+    df = spark.createDataFrame([(1, "mail a.b@c.de token = abcdefgh1", "n", 5), (None, None, None, None)], "doc_id long, text string, kind string, start int")
+    for op, out in ((pii.detect, "pii_spans"), (secrets.scan, "secret_spans")):
+        rows_ = op(df.withColumn(out, df.kind)).orderBy("doc_id").collect()
+        assert [(r.kind, r.start, len(r[out])) for r in rows_] == [(None, None, 0), ("n", 5, 1)]
+        assert op(df.limit(0)).count() == 0
+    for op in (pii.redact, secrets.redact):
+        assert op(df).columns == df.columns and op(df.limit(0)).count() == 0
