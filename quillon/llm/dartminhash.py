@@ -33,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillon.operators.components import components
 from quillon.scratch import cut
@@ -42,8 +41,8 @@ from quillon.llm.words import WORD_BYTES, raw_texts
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 4, 0.8
 #: UTF-8 bytes that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
-#: Links to one leader that share a task.
-PER_SALT = 2000
+#: Links to one leader that share a task, and the leaders of more that are joined by broadcast.
+PER_SALT, BROADCAST_HOT = 500, 100_000
 #: Members of a bucket that are compared with those of another block in one key of a join.
 BLOCK = 1024
 #: 64-bit words of parities: a bit says whether an odd number of the text's regions fall on it.
@@ -167,14 +166,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int
             hashes = band_hashes(dart_signatures(cells, doc, weight, bands * rows), bands, rows)
             lists = _lists(hashes[weight > 0].reshape(-1), np.where(weight > 0, bands, 0), pa.int64())
             odd = _lists(parities(cells, doc, len(texts)).view(np.int64).reshape(-1), np.full(len(texts), PARITIES), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(weight, pa.int64()), odd], names=["id", "digest", "bands", "weight", "odd"])
-
-
-def _regions(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, texts in _steps(batch):
-            cells, _, weight = shingle_cells(texts, width)
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists((cells >> _U(32)).astype(np.uint32).view(np.int32), weight, pa.int32())], names=["node", "cells"])
+            regions = _lists((cells >> _U(32)).astype(np.uint32).view(np.int32), weight, pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(weight, pa.int64()), odd, regions], names=["id", "digest", "bands", "weight", "odd", "cells"])
 
 
 def _nodes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -194,7 +187,7 @@ def near_duplicates(
     """Two tables. Nodes: id, digest, node for each row (a node is a distinct text, named by its least id; null for a
     blank one). Classes: node, class_id, links for the nodes in a confirmed link."""
     source = _nodes(docs, id_col, text)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("weight", T.LongType()), T.StructField("odd", T.ArrayType(T.LongType()))])
+    schema = "id long, digest binary, bands array<long>, weight long, odd array<long>, cells array<int>"
     sketches = cut(source.mapInArrow(lambda it: _sketch(it, bands, rows, width), schema), "sketches")
     stand_in = F.lit(_NO_ID) - F.pmod(F.xxhash64("digest"), F.lit(1 << 60))
     texts = sketches.where(F.col("digest").isNotNull()).groupBy("digest").agg(
@@ -207,12 +200,12 @@ def near_duplicates(
         F.min("node").alias("least"), F.min(F.struct(order.alias("o"), F.col("node").alias("n"))).alias("first"), F.count(F.lit(1)).alias("size")
     ).where("size > 1").select("band", "bucket", "size", F.array_distinct(F.array("least", F.col("first.n"))).alias("leads"))
     pairs = buckets.join(leaders, ["band", "bucket"]).select("node", F.explode("leads").alias("lead")).where("node <> lead")
-    pairs = cut(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "pairs")
-    links = confirmed(source, texts, pairs, similarity, width)
+    pairs = cut(pairs.groupBy(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).agg(F.min("lead").alias("lead")), "pairs")
+    links = confirmed(sketches, texts, pairs, similarity)
     found = components(links)
-    rest = cut(across_classes(texts, leaders, found, similarity).join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = cut(across_classes(texts, leaders, found, similarity).join(pairs, ["a", "b"], "left_anti").withColumn("lead", F.col("a")), "rest")
     if not rest.isEmpty():
-        more = confirmed(source, texts, rest, similarity, width)
+        more = confirmed(sketches, texts, rest, similarity)
         found = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
         links = links.unionByName(more)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
@@ -240,22 +233,25 @@ def across_classes(texts: DataFrame, leaders: DataFrame, found: DataFrame, simil
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def confirmed(source: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+def confirmed(sketches: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs of nodes whose regions have a Jaccard similarity of at least the given one.
 
-    Only texts in a pair have their regions written; both joins run on them, the second one salted by the times
-    that a node is on the right side."""
+    No text is read again: the first pass wrote the regions, and only those of nodes in a pair are joined. A pair's
+    lead may stand in very many pairs: its regions are copied once for every PER_SALT of them. The other node is a
+    member that meets at most two leaders for each of its buckets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = texts.select("node", "digest").join(wanted, "node")
-    rows = source.where(F.col("digest").isNotNull()).join(first.withColumnRenamed("digest", "d").withColumn("rep", F.when(F.col("node") > _NO_ID, F.col("node"))), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("rep")))
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
-    cells = rows.select("node", "text").mapInArrow(lambda it: _regions(it, width), schema)
+    first = texts.select("node", F.col("digest").alias("d")).join(wanted, "node").withColumn("rep", F.when(F.col("node") > _NO_ID, F.col("node")))
+    rows = sketches.where(F.col("digest").isNotNull()).select("digest", "id", "cells")
+    cells = rows.join(first, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("rep")))
     # A repeated row stands more than once; one of them is enough, and such rows are equal.
     cells = cut(cells.groupBy("node").agg(F.max("cells").alias("cells")), "regions")
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
-    left = cells.join(salts, cells.node == salts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", F.col("cells").alias("ca"))
-    right = pairs.join(salts, "a").join(cells, F.col("b") == F.col("node")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("cells").alias("cb"))
-    both = right.join(left.drop("salts"), ["a", "salt"])
+    hot = cut(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_SALT), "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot
+    salted = pairs.join(hot, "lead", "left").select("a", "b", "lead", F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"), F.ceil(F.coalesce("n", F.lit(1)) / PER_SALT).alias("salts"))
+    salted = cut(salted.withColumn("salt", F.pmod(F.xxhash64("other"), F.col("salts"))).drop("salts"), "salted")
+    left = salted.select("lead", "salt").distinct().join(cells, F.col("lead") == F.col("node")).select("lead", "salt", F.col("cells").alias("ca"))
+    right = salted.join(cells, F.col("other") == F.col("node")).select("a", "b", "lead", "salt", F.col("cells").alias("cb"))
+    both = right.join(left, ["lead", "salt"])
     # Sizes alone rule many pairs out: similarity is at most the smaller over the larger.
     same = F.size(F.array_intersect("ca", "cb"))
     union = F.size(F.array_distinct("ca")) + F.size(F.array_distinct("cb")) - same
