@@ -123,24 +123,30 @@ def test_broken_pages_do_not_crash(page):
     html_extract.blocks(page)
 
 
-def brute_cover(streams, depth):
-    seen = {}
-    for i, s in enumerate(streams):
-        for k in range(len(s) - depth + 1):
-            seen.setdefault(tuple(s[k : k + depth]), set()).add(i)
-    return [[any(len(seen[tuple(s[p : p + depth])]) > 1 for p in range(max(0, k - depth + 1), min(k, len(s) - depth) + 1)) for k in range(len(s))] for s in streams]
+@pytest.mark.parametrize("page", ["<a ", "<div>", "<a href='x", "</b>", "<!", "<b>", "<p class=x>", "<script>", "&amp", "<x \"'>"])
+def test_parsing_is_linear(page):
+    import time
+
+    began = time.time()
+    html_extract.blocks(page * (2_000_000 // len(page)) + "</p>")
+    html_extract.blocks("<a " + page.strip("<>") * (2_000_000 // len(page)) + ">")
+    assert time.time() - began < 60
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_suffix_array_covers_repeats(seed):
+def test_suffix_array_counts_pages(seed):
     rng = random.Random(seed)
     streams = [[rng.randint(0, 2 if seed < 3 else 30) for _ in range(rng.randint(0, 60))] for _ in range(6)] + [[7] * 40, [7] * 8]
     ids, page = [x for s in streams for x in s], [i for i, s in enumerate(streams) for _ in s]
-    got = html_extract.repeated_cover(np.array(ids), np.array(page))
-    assert got.tolist() == [c for s in brute_cover(streams, html_extract.DEPTH) for c in s]
+    d, want = html_extract.DEPTH, {}
+    for i, s in enumerate(streams):
+        for k in range(len(s) - d + 1):
+            want.setdefault(tuple(s[k : k + d]), set()).add(i)
+    at, pages = html_extract.suffix_groups(np.array(ids), np.array(page))
+    assert {tuple(ids[a : a + d]): n for a, n in zip(at.tolist(), pages.tolist())} == {k: len(v) for k, v in want.items()}
 
 
-def test_host_boilerplate_goes_by_either_way(spark):
+def test_host_boilerplate_goes_whatever_the_shards(spark):
     rng = random.Random(2)
     line = "this line of twelve words stands on every page of the host"
     pages, want = [], {}
@@ -151,9 +157,13 @@ def test_host_boilerplate_goes_by_either_way(spark):
         want[i] = own
     pages += [(30, "http://a.org/x", None), (31, "http://c.org/x", f"<p>{line}</p>"), (32, "http://c.org/y", f"<p>{line}</p>"), (32, "http://c.org/y", f"<p>{line}</p>")]
     want |= {30: "", 31: line, 32: line}
+    # Versions of one page, and a passage that two pages share, aren't boilerplate.
+    body = " ".join(f"b{k}" for k in range(60))
+    pages += [(40 + i, "http://d.org/x", f"<div>{line}</div><div>{body} v{i}</div>") for i in range(9)] + [(60 + i, f"http://d.org/{i}", f"<div>{line}</div><p>s{i} {body.replace('b', 'c') if i < 2 else i} {' '.join(str(rng.random()) for _ in range(30))}</p>") for i in range(20)]
+    want |= {40 + i: f"{line}\n{body} v{i}" for i in range(9)} | {60 + i: re.search("<p>(.*)</p>", pages[-20 + i][2])[1] for i in range(20)}
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     for limit in (1 << 20, 100):
-        out = html_extract.extract(df, host_bytes=limit).collect()
+        out = html_extract.extract(df.withColumn("text", df.url), shard_tokens=limit).collect()
         assert {r.page_id: r.text for r in out} == want and len(out) == len(pages) and all(r.n_chars == len(r.text) for r in out)
     assert html_extract.extract(df.limit(0)).count() == 0
 
