@@ -255,6 +255,27 @@ def test_archives_round_trip(spark, folder, tmp_path):
     assert rows(back, "page_id", "url", "html") == want
 
 
+def test_resolving_by_either_join_and_damaged_archives(spark, folder, tmp_path):
+    import gzip
+    import pathlib
+
+    pages = spark.read.parquet(f"{folder}/pages.parquet").withColumn("record_type", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1))
+    hot = spark.createDataFrame([(100 + i, f"u{i}", "<p>gone</p>") for i in range(500)] + [(900, "x", "y")], "page_id long, url string, html string")
+    for data in (pages, hot, hot.limit(0)):
+        a, b = (rows(warc.resolve(data, broadcast_originals=n), "page_id", "url", "payload_digest", "record_type", "refers_to") for n in (10**6, -1))
+        assert a == b
+    warc.write_archives(hot, str(tmp_path / "w"), file_bytes=6000)
+    files = list(pathlib.Path(tmp_path / "w").glob("*.gz"))
+    text = "".join(gzip.open(f, "rt", newline="").read() for f in files)
+    first = re.search(r"WARC-Type: response\r\nWARC-Record-ID: (\S+)\r\n(?:.*\r\n)*?X-Page-ID: 100\r\n", text)[1]
+    assert len(files) > 10 and text.count("WARC-Type: revisit") == 499 and text.count(f"WARC-Refers-To: {first}\r\n") == 499
+    bad = next(f for f in files if b"<p>gone</p>" in gzip.open(f).read())
+    bad.write_bytes(gzip.compress(gzip.open(bad).read().replace(b"<p>gone</p>", b"<p>lost</p>")))
+    bad.with_name(f".{bad.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="headers say"):
+        warc.read_archives(spark, str(tmp_path / "w")).collect()
+
+
 def test_op4(spark, folder, sf_dir):
     from collections import defaultdict
 
