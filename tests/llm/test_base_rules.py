@@ -267,7 +267,7 @@ def test_resolving_by_either_join_and_damaged_archives(spark, folder, tmp_path):
     warc.write_archives(hot, str(tmp_path / "w"), file_bytes=6000)
     files = list(pathlib.Path(tmp_path / "w").glob("*.gz"))
     text = "".join(gzip.open(f, "rt", newline="").read() for f in files)
-    first = re.search(r"WARC-Type: response\r\nWARC-Record-ID: (\S+)\r\n(?:.*\r\n)*?X-Page-ID: 100\r\n", text)[1]
+    first = re.search(r"WARC-Type: response\r\nWARC-Record-ID: (\S+)\r\n(?:[^\r]+\r\n){3}X-Page-ID: 100\r\n", text)[1]
     assert len(files) > 10 and text.count("WARC-Type: revisit") == 499 and text.count(f"WARC-Refers-To: {first}\r\n") == 499
     bad = next(f for f in files if b"<p>gone</p>" in gzip.open(f).read())
     bad.write_bytes(gzip.compress(gzip.open(bad).read().replace(b"<p>gone</p>", b"<p>lost</p>")))
