@@ -230,6 +230,29 @@ def test_token_counts_of_any_text(text):
     assert counter.counts([text.encode()]) == [len(counter.tokenizer.encode(text, add_special_tokens=False))]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"])
+def test_any_tokenizer_and_long_texts(spark, name):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path(name)
+    counter = tokens.Counter(path)
+    assert counter.fast == name.startswith("word")
+    long = "Some words, and more: don't stop 42 times. " * 60000 if counter.fast else "Some words, don't stop. " * 300
+    texts = [long, "", None, "A B\nc", long[:5000], "x" * 40000, *["many rows " * 3] * 600]
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, over_limit string, n int")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit, r.n) for r in tokens.count_tokens(df, path).collect()}
+    want = {i: counter.whole([(t or "").encode()])[0] for i, t in enumerate(texts)}
+    assert got == {i: (len((t or "").encode()), want[i], want[i] > 2048, 1) for i, t in enumerate(texts)}
+    assert tokens.count_tokens(df.limit(0), path).count() == 0
+
+
+def test_slices_are_bound_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.record_batch({"text": pa.array(["x" * 400_000] * 7 + [None, "y" * 5_000_000, "z"])})
+    parts = list(tokens.slices(batch, "text"))
+    assert [p.num_rows for p in parts] == [2, 2, 2, 2, 1, 1] and sum(len(t) for t in tokens.segments(b"ab " * 10**6)) == 3 * 10**6
+
+
 def test_op6(spark, folder, sf_dir):
     got = rows(queries.op6_warc_revisits(spark, folder), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     data = spark.read.parquet(f"{folder}/pages.parquet").collect()
