@@ -27,6 +27,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 WINDOW = 20
+#: Counts of five bits in one number.
+PACKED = 12
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Bits a character; 20 distinct characters would have 4.32.
 THRESHOLDS = {"hex": 2.9, "mixed": 3.6, "cased": 4.0, "symbols": 4.0}
@@ -53,27 +55,40 @@ def char_class(s: Column) -> Column:
 def dense_stretch(s: Column, threshold: Column, window: int = WINDOW) -> Column:
     """(first, last): the offsets of the first and of the last window of s at the threshold; nulls if none.
 
-    The state holds a count for each code from '+' to 'z' and the sum of c * log2(c) over the counts c; a step
-    changes two counts and the two terms that they have in the sum. The entropy is log2(window) - sum / window."""
+    The state holds the counts of the codes from '+' to 'z', which a window keeps under 32, in five bits each, twelve to
+    a number, and the sum of c * log2(c) over the counts c. A step adds to one number for the code that enters, takes
+    from one for the code that leaves, and changes the two terms that they have in the sum; no array is written anew.
+    The entropy is log2(window) - sum / window."""
+    if window > 31:
+        raise ValueError("a window has at most 31 characters")
     codes = F.transform(F.split(s, ""), lambda c: F.ascii(c) - 43)
     term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    numbers = [f"n{k}" for k in range(-(-80 // PACKED))]
     zero = F.struct(
-        F.array_repeat(F.lit(0), 80).alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"),
+        *[F.lit(0).cast("long").alias(n) for n in numbers], F.lit(0.0).alias("sum"), F.lit(0).alias("i"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), codes.alias("codes"),
     )
 
+    def count(acc: Column, code: Column) -> Column:
+        number = F.lit(0).cast("long")
+        for k, n in reversed(list(enumerate(numbers))):
+            number = F.when(code < PACKED * (k + 1), acc[n]).otherwise(number)
+        return F.call_function("shiftright", number, 5 * (code % PACKED)).bitwiseAND(F.lit(31)).cast("int")
+
+    def one(code: Column, k: int) -> Column:
+        mine = (code >= PACKED * k) & (code < PACKED * (k + 1))
+        return F.when(mine, F.call_function("shiftleft", F.lit(1).cast("long"), 5 * (code % PACKED))).otherwise(F.lit(0).cast("long"))
+
     def step(acc: Column, code: Column) -> Column:
         out = F.when(acc["i"] >= window, F.element_at(acc["codes"], F.greatest(acc["i"] - window, F.lit(0)) + 1)).otherwise(F.lit(-1))
-        left = F.when(out >= 0, F.element_at(acc["n"], F.greatest(out, F.lit(0)) + 1)).otherwise(F.lit(0))
-        after_out = acc["sum"] - term(left) + term(left - 1)
-        here = F.element_at(acc["n"], code + 1) - F.when(code == out, 1).otherwise(0)
-        total = after_out - term(here) + term(here + 1)
-        counts = F.transform(acc["n"], lambda v, j: v + F.when(j == code, 1).otherwise(0) - F.when(j == out, 1).otherwise(0))
+        left = F.when(out >= 0, count(acc, F.greatest(out, F.lit(0)))).otherwise(F.lit(0))
+        here = count(acc, code) - F.when(code == out, 1).otherwise(0)
+        total = acc["sum"] - term(left) + term(left - 1) - term(here) + term(here + 1)
         dense = (acc["i"] + 1 >= window) & (F.lit(math.log2(window)) - total / window >= threshold - F.lit(1e-9))
         at = acc["i"] - (window - 1)
         return F.struct(
-            counts.alias("n"), total.alias("sum"), (acc["i"] + 1).alias("i"), F.when(dense, F.coalesce(acc["first"], at)).otherwise(acc["first"]).alias("first"),
-            F.when(dense, at).otherwise(acc["last"]).alias("last"), acc["codes"].alias("codes"),
+            *[(acc[n] + one(code, k) - one(out, k)).alias(n) for k, n in enumerate(numbers)], total.alias("sum"), (acc["i"] + 1).alias("i"),
+            F.when(dense, F.coalesce(acc["first"], at)).otherwise(acc["first"]).alias("first"), F.when(dense, at).otherwise(acc["last"]).alias("last"), acc["codes"].alias("codes"),
         )
 
     return F.aggregate(codes, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))

@@ -146,6 +146,41 @@ def test_entropy_classes_and_cut_stretches(spark, text, want):
     assert [(s.start, s.end, secrets.KINDS[s.kind]) for s in got] == want
 
 
+def test_planted_secrets_that_only_entropy_finds(spark):
+    """Random keys of several alphabets in prose, without a telling name, among slugs, ids, numbers and long words."""
+    import random
+    import string
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abdegiklmnoprstu") for _ in range(rng.randint(2, 9)))
+    alphabets = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters, "0123456789ABCDEF")
+    harmless = (
+        lambda: "-".join(word() for _ in range(6)), lambda: "/".join(["", "usr", *(word() for _ in range(5))]), lambda: "_".join(word().upper() for _ in range(5)), lambda: word().capitalize() + word() * 4,
+        lambda: "".join(rng.choice("0123456789") for _ in range(24)), lambda: str(__import__("uuid").UUID(int=rng.getrandbits(128))), lambda: "=" * 30, lambda: "ha" * 15, lambda: f"2024-{rng.randint(10, 99)}-page-{word()}-{word()}-{word()}",
+    )
+    data, want = [], {}
+    for i in range(1200):
+        parts, want[i] = [], set()
+        for _ in range(4):
+            parts.append(" ".join(word() for _ in range(6)))
+            if rng.random() < 0.3:
+                parts.append("".join(rng.choice(rng.choice(alphabets[:1]) if k % 9 == 0 else a) for a in [rng.choice(alphabets)] for k in range(rng.randint(32, 44))))
+                want[i].add(len(parts) - 1)
+            else:
+                parts.append(rng.choice(harmless)())
+        data.append((i, " ".join(parts), parts))
+    got = {r.doc_id: [(s.start, s.end) for s in r.secret_spans] for r in secrets.scan(spark.createDataFrame([d[:2] for d in data], "doc_id long, text string")).collect()}
+    caught = total = extra = 0
+    for i, text, parts in data:
+        at, places = 0, {}
+        for k, p in enumerate(parts):
+            places[k] = (at, at + len(p))
+            at += len(p) + 1
+        hit = {k for k, (a, b) in places.items() if any(x < b and a < y for x, y in got[i])}
+        total, caught, extra = total + len(want[i]), caught + len(hit & want[i]), extra + len(hit - want[i])
+    assert total > 1000 and caught / total > 0.9 and extra / caught < 0.02, (total, caught, extra)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, 'é 😀 token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', 9, "k"), (2, None, None, "k")], "doc_id long, text string, n_chars long, extra string")
     got = [tuple(r) for r in secrets.redact(df).orderBy("doc_id").collect()]
