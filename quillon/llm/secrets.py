@@ -35,7 +35,7 @@ THRESHOLDS = {"hex": 2.9, "mixed": 3.6, "cased": 4.0, "symbols": 4.0}
 #: Candidates that are known to be harmless.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"^[_=+/-]*([a-z]+|[A-Z]+|[A-Z][a-z]+)([_=+/-]+([a-z]{1,16}|[A-Z]{1,16}|[A-Z][a-z]{1,15}|[0-9]{1,8}))*[_=+/-]*$",
+    r"^[_=+/-]*([a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]{1,8})([_=+/-]+([a-z]{1,16}|[A-Z]{1,16}|[A-Z][a-z]{1,15}|[0-9]{1,8}))*[_=+/-]*$",
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|lorem",
     r"(?i)0123456789|1234567890|abcdefghij|qwertyuiop",
     r"^(.)\1+$",
