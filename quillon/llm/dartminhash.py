@@ -43,6 +43,8 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 4, 0.8
 STEP_BYTES = 1 << 20
 #: Links to one leader that share a task, and the leaders of more that are joined by broadcast.
 PER_SALT, BROADCAST_HOT = 500, 100_000
+#: Nodes in a pair, of some 50 bytes, that are joined to all regions by broadcast; more of them by a shuffle.
+BROADCAST_WANTED = 200_000
 #: Members of a bucket that are compared with those of another block in one key of a join.
 BLOCK = 1024
 #: 64-bit words of parities: a bit says whether an odd number of the text's regions fall on it.
@@ -184,8 +186,8 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
     width: int = SHINGLE,
 ) -> tuple[DataFrame, DataFrame]:
-    """Two tables. Nodes: id, digest, node for each row (a node is a distinct text, named by its least id; null for a
-    blank one). Classes: node, class_id, links for the nodes in a confirmed link."""
+    """Two tables. Rows: id and digest for each row (null for a blank text). Texts: digest, node, class_id, links for each
+    distinct text, a node, which is named by its least id; the class of a node without a link is itself."""
     source = _nodes(docs, id_col, text)
     schema = "id long, digest binary, bands array<long>, weight long, odd array<long>, cells array<int>"
     sketches = cut(source.mapInArrow(lambda it: _sketch(it, bands, rows, width), schema), "sketches")
@@ -195,34 +197,37 @@ def near_duplicates(
     )
     texts = cut(texts, "texts")
     buckets = texts.select("node", F.posexplode("bands").alias("band", "bucket"))
-    order = F.xxhash64("band", "node")
-    leaders = buckets.groupBy("band", "bucket").agg(
-        F.min("node").alias("least"), F.min(F.struct(order.alias("o"), F.col("node").alias("n"))).alias("first"), F.count(F.lit(1)).alias("size")
-    ).where("size > 1").select("band", "bucket", "size", F.array_distinct(F.array("least", F.col("first.n"))).alias("leads"))
-    pairs = buckets.join(leaders, ["band", "bucket"]).select("node", F.explode("leads").alias("lead")).where("node <> lead")
+    # Two least values, of the node and of the node under a key of the band, aggregate by hash and without a sort.
+    key = F.xxhash64("band")
+    leaders = buckets.groupBy("band", "bucket").agg(F.min("node").alias("least"), F.min(F.col("node").bitwiseXOR(key)).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    leaders = cut(leaders.select("band", "bucket", "size", F.array_distinct(F.array("least", F.col("first").bitwiseXOR(key))).alias("leads")), "leaders")
+    # Both sides grow with the corpus: the join is a merge at every size.
+    members = cut(buckets.join(leaders.hint("merge"), ["band", "bucket"]), "members")
+    pairs = members.select("node", F.explode("leads").alias("lead")).where("node <> lead")
     pairs = cut(pairs.groupBy(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).agg(F.min("lead").alias("lead")), "pairs")
     links = confirmed(sketches, texts, pairs, similarity)
     found = components(links)
-    rest = cut(across_classes(texts, leaders, found, similarity).join(pairs, ["a", "b"], "left_anti").withColumn("lead", F.col("a")), "rest")
+    rest = cut(across_classes(texts, members, found, similarity).join(pairs, ["a", "b"], "left_anti").withColumn("lead", F.col("a")), "rest")
     if not rest.isEmpty():
         more = confirmed(sketches, texts, rest, similarity)
         found = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
         links = links.unionByName(more)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    nodes = sketches.join(texts.select("digest", "node"), "digest", "left").select("id", "digest", "node")
-    return nodes, found.join(degree, "node", "left").select("node", F.col("root").alias("class_id"), "links")
+    classes = texts.select("digest", "node").join(found, "node", "left").join(degree, "node", "left")
+    return sketches.select("id", "digest"), cut(classes.select("digest", "node", F.coalesce("root", "node").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "classes")
 
 
-def across_classes(texts: DataFrame, leaders: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+def across_classes(texts: DataFrame, members: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """The pairs of nodes that share a bucket, aren't of one class yet and whose sizes and parities allow the similarity.
 
     A bucket's leaders have met all its members before. The other members are dealt to blocks, and every two blocks
     of a bucket are a key of their own, so that no task holds a whole bucket."""
-    named = texts.join(found, "node", "left").select("node", "weight", "odd", F.coalesce("root", "node").alias("class"), F.posexplode("bands").alias("band", "bucket"))
-    members = named.join(leaders.where("size > 3 or size > size(leads) + 1").select("band", "bucket", "leads"), ["band", "bucket"]).where(~F.array_contains("leads", F.col("node")))
+    members = members.where("size > 3 or size > size(leads) + 1").where(~F.array_contains("leads", F.col("node")))
+    members = cut(members.join(found, "node", "left").select("node", "band", "bucket", F.coalesce("root", "node").alias("class")), "classed")
     open_ = members.groupBy("band", "bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("c0 <> c1")
-    dealt = members.join(open_.select("band", "bucket", "blocks"), ["band", "bucket"])
-    dealt = cut(dealt.select("band", "bucket", "blocks", "node", "class", "weight", "odd", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("k")), "members")
+    open_ = cut(open_.select("band", "bucket", "blocks"), "open")
+    dealt = members.join(open_, ["band", "bucket"]).join(texts.select("node", "weight", "odd"), "node")
+    dealt = cut(dealt.select("band", "bucket", "blocks", "node", "class", "weight", "odd", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("k")), "dealt")
     left = dealt.select("band", "bucket", F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)).alias("j"), F.col("node").alias("x"), F.col("class").alias("cx"), F.col("weight").alias("wx"), F.col("odd").alias("ox"))
     right = dealt.select("band", "bucket", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"), F.col("node").alias("y"), F.col("class").alias("cy"), F.col("weight").alias("wy"), F.col("odd").alias("oy"))
     fits = F.least("wx", "wy") >= F.floor(F.lit(similarity) * F.greatest("wx", "wy"))
@@ -241,6 +246,8 @@ def confirmed(sketches: DataFrame, texts: DataFrame, pairs: DataFrame, similarit
     member that meets at most two leaders for each of its buckets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     first = texts.select("node", F.col("digest").alias("d")).join(wanted, "node").withColumn("rep", F.when(F.col("node") > _NO_ID, F.col("node")))
+    first = cut(first, "wanted")
+    first = F.broadcast(first) if first.count() <= BROADCAST_WANTED else first
     rows = sketches.where(F.col("digest").isNotNull()).select("digest", "id", "cells")
     cells = rows.join(first, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("rep")))
     # A repeated row stands more than once; one of them is enough, and such rows are equal.
@@ -260,22 +267,21 @@ def confirmed(sketches: DataFrame, texts: DataFrame, pairs: DataFrame, similarit
 
 
 def dedup_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """A row per row of docs: id, class_id and the links of its text to other texts."""
-    nodes, classes = near_duplicates(docs, id_col, text, **options)
-    out = nodes.join(classes, "node", "left")
-    real = lambda c: F.when(c > _NO_ID, c)
+    """A row per row of docs: id, class_id and the confirmed links of its text (to leaders, and across classes)."""
+    rows, texts = near_duplicates(docs, id_col, text, **options)
     # A class named by a stand-in has another, real name if any of its ids is known; that is its least real id.
-    named = classes.where(F.col("class_id") <= _NO_ID).where(F.col("node") > _NO_ID).groupBy(F.col("class_id").alias("stand_in")).agg(F.min("node").alias("name"))
-    out = out.join(named, F.col("class_id") == F.col("stand_in"), "left")
-    class_id = F.when(F.col("node").isNull(), F.col("id")).otherwise(real(F.coalesce("name", "class_id", "node")))
+    named = texts.where(F.col("class_id") <= _NO_ID).where(F.col("node") > _NO_ID).groupBy(F.col("class_id").alias("stand_in")).agg(F.min("node").alias("name"))
+    texts = texts.join(named, F.col("class_id") == F.col("stand_in"), "left")
+    name = F.coalesce("name", F.when(F.col("class_id") > _NO_ID, F.col("class_id")))
+    out = rows.join(texts.select("digest", name.alias("class_id"), "links"), "digest", "left")
+    class_id = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id"))
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without all but one document of each class: that of the least id stays; blank texts all stay."""
-    nodes, classes = near_duplicates(docs, id_col, text, **options)
-    out = nodes.where(F.col("digest").isNotNull()).select("digest", "node").distinct().join(classes, "node", "left")
-    best = out.groupBy(F.coalesce("class_id", "node").alias("class")).agg(F.min(F.struct((F.col("node") <= _NO_ID).alias("unknown"), F.col("node").alias("node"), F.col("digest").alias("digest"))).alias("best"))
+    _, texts = near_duplicates(docs, id_col, text, **options)
+    best = texts.groupBy("class_id").agg(F.min(F.struct((F.col("node") <= _NO_ID).alias("unknown"), F.col("node").alias("node"), F.col("digest").alias("digest"))).alias("best"))
     keepers = best.select(F.when(~F.col("best.unknown"), F.col("best.node")).alias("_id"), F.col("best.digest").alias("_digest"), F.lit(True).alias("_keep"))
     rows = docs.where(~_blank(text)).withColumn("_d", F.unhex(F.md5(F.col(text).cast("string"))))
     joined = rows.join(keepers, (F.col("_d") == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
