@@ -81,6 +81,7 @@ def first_covered_day(start: Column) -> Column:
     return F.date_add(start, 1)
 
 
-def projected_count(count: Column, span_days: Column, window_days: float) -> Column:
-    """the count itself if it spans nine tenths of the window, else in proportion; null without any."""
-    return F.when(count == 0, None).when(span_days >= 0.9 * window_days, count.cast("double")).otherwise(count * window_days / F.nullif(span_days, F.lit(0.0)))
+def projected_count(count: Column, span_days: Column, window_days: float, least_span: float = 1 / 24) -> Column:
+    """the count itself if it spans nine tenths of the window, else in proportion, rounded half to even; null without any."""
+    rate = F.rint(count / F.greatest(span_days, F.lit(least_span)) * window_days)
+    return F.when(count == 0, None).when(span_days >= 0.9 * window_days, count).otherwise(rate).cast("long")

@@ -94,3 +94,13 @@ def merged_maps(old: Column, new: Column, preserve: list[str]) -> Column:
     """the new map, but for preserved keys the old values."""
     kept = F.map_filter(old, lambda k, _: k.isin(*preserve))
     return F.map_concat(F.map_filter(new, lambda k, _: ~F.map_contains_key(kept, k)), kept)
+
+
+def round_binary(values: Column, digits: int) -> Column:
+    """to a number of digits, half to even on the exact binary value; SQL's ROUND goes by the decimal text."""
+
+    @F.pandas_udf(T.DoubleType())
+    def rounded(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: x if x is None or x != x else round(x, digits))
+
+    return rounded(values.cast("double"))

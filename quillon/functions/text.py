@@ -16,12 +16,15 @@ LEGAL_SUFFIXES = (
     "inc corp corporation ltd limited plc ag se sa nv co company technologies technology manufacturing markets holdings group cl a reg shs ad rs "
     "spons registered shares"
 ).split()
+# Least lengths of names, aliases and tickers.
 MIN_NAME, MIN_ALIAS, MIN_TICKER = 4, 3, 3
 # Page furniture that survives tag stripping.
 FURNITURE = r"(?i)\s*(?:⁠\s*)?\(opens in a new window\)|\s*Skip to main content|\s*Skip to footer|\s*Loading…"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _MONTH_NAMES = "January February March April May June July August September October November December".split()
-STOPWORDS = "the and for with from that this are was our its into via towards toward using can how what when".split()
+# Words that carry no content.
+STOPWORDS = "a an the of for to in on and or with is are be this that from as by we present system via using based into at its their".split()
+# Emoji and symbol ranges.
 _EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}\x{2190}-\x{21FF}\x{2300}-\x{23FF}]"
 
 
@@ -175,15 +178,16 @@ def name_parts(name: Column) -> Column:
 
 
 def given_names_compatible(a: Column, b: Column, short: int = 6, shared: int = 3) -> Column:
-    """equal, one empty, or the shorter a likely short form: at most six letters, three of them in common."""
-    small = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    close = (F.length(small) <= short) & (F.length(a) != F.length(b)) & (F.length(small) >= shared) & (F.substring(a, 1, shared) == F.substring(b, 1, shared))
+    """equal, one empty, or the shorter at most six letters and three letters in common from the start."""
+    close = (F.least(F.length(a), F.length(b)).between(shared, short)) & (F.substring(a, 1, shared) == F.substring(b, 1, shared))
     return (a == "") | (b == "") | (a == b) | close
 
 
 def looks_like_a_name(text: Column) -> Column:
-    """F16: two to four capitalised words."""
-    return text.rlike(r"^\p{Lu}[\p{L}'.-]*(?: \p{Lu}[\p{L}'.-]*){1,3}$")
+    """F16: one to four tokens of at most 40 characters, no lower-case word, a capital first, not a single acronym."""
+    tokens = F.size(F.array_remove(F.split(text, r"\s+"), ""))
+    acronym = (tokens == 1) & (F.upper(text) == text)
+    return (F.length(text) <= 40) & tokens.between(1, 4) & text.rlike("^[A-Z]") & ~text.rlike(r"(?U)\b[a-z]{2,}\b") & ~acronym
 
 
 def content_words(text: Column) -> Column:
@@ -198,8 +202,11 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def tidy_fund_name(name: Column) -> Column:
-    """a space where a small letter meets a capital."""
-    return F.trim(F.regexp_replace(F.regexp_replace(name, r"(?<=\p{Ll})(?=\p{Lu})", " "), r"\s+", " "))
+    """a space where a capital follows a small letter, dot or comma, before a capital that starts a word after capitals,
+    and between a digit and a letter."""
+    for place in (r"(?<=[a-z.,])(?=[A-Z])", r"(?<=[A-Z])(?=[A-Z][a-z])", r"(?<=[0-9])(?=[A-Za-z])"):
+        name = F.regexp_replace(name, place, " ")
+    return F.trim(F.regexp_replace(name, r"\s+", " "))
 
 
 def fold_quotes(text: Column) -> Column:
@@ -299,8 +306,8 @@ def german_date(text: Column) -> Column:
 
 
 def shortened(text: Column, most: int = 80) -> Column:
-    """F26."""
-    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit("…"))).otherwise(text)
+    """the first characters and an ellipsis, where there are more."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
 
 def substance(text: Column) -> Column:

@@ -42,6 +42,16 @@ def event_scores(items: DataFrame, tags: DataFrame, key: str, event_weight: Colu
     return out.withColumn("score", F.round(100.0 * (event_weight / most) * (F.coalesce("_best", F.lit(0.0)) / 3.0), 1)).drop("_best")
 
 
+def both_scores(items: DataFrame, tags: DataFrame, key: str, event_weight: Column, actions: dict[str, float], most: float = 5.0) -> DataFrame:
+    """A5 and A6 in one pass over the tags: score and ai_score."""
+    strength = lookup(LEVELS, F.col("magnitude")) * lookup(GATE, F.col("confidence"))
+    impact = lookup(LEVELS, F.col("impact")) * lookup(GATE, F.col("confidence"))
+    best = tags.groupBy(key).agg(F.max(strength).alias("_best"), F.max(lookup(actions, F.col("action"))).alias("_a"), F.max(impact).alias("_s"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = items.join(best, key, "left").withColumn("score", F.round(100.0 * (event_weight / most) * (zero("_best") / 3.0), 1))
+    return out.withColumn("ai_score", F.round(100.0 * (zero("_a") / max(actions.values())) * (zero("_s") / 3.0), 1)).drop("_best", "_a", "_s")
+
+
 def practice_scores(items: DataFrame, tags: DataFrame, key: str, actions: dict[str, float]) -> DataFrame:
     """The greatest action weight and the greatest impact * confidence, each by itself."""
     top = max(actions.values())
@@ -51,25 +61,35 @@ def practice_scores(items: DataFrame, tags: DataFrame, key: str, actions: dict[s
     return out.withColumn("ai_score", F.round(score, 1)).drop("_a", "_s")
 
 
+# Tiers that assert employment.
+EMPLOYMENT_TIERS = ("confirmed", "confirmed_org_wide")
+
+
 def watermarks(rows: DataFrame, group: str, at: str) -> DataFrame:
     """A1."""
     return rows.groupBy(group).agg(F.max(at).alias("newest"), F.count(F.lit(1)).alias("n")).orderBy(group)
 
 
 def register_overview(people: DataFrame, evidence: DataFrame) -> DataFrame:
-    """A2, A3: people per laboratory by source, with evidence or not; the largest first."""
-    has = evidence.select(F.col("person_id").alias("id"), F.lit(True).alias("has")).distinct()
+    """A3: people per laboratory by source, and those with evidence of employment; the largest first."""
+    has = evidence.where(F.col("tier").isin(*EMPLOYMENT_TIERS)).select(F.col("person_id").alias("id"), F.lit(True).alias("has")).distinct()
     rows = people.join(has, "id", "left")
     counts = [F.count_if(F.col("source_kind") == k).alias(k) for k in ("paper", "github")]
     return rows.groupBy("lab").agg(*counts, F.count_if(F.col("has")).alias("evidenced"), F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "lab")
 
 
+def tier_counts(evidence: DataFrame) -> DataFrame:
+    """A2: evidence rows by tier, the most frequent first."""
+    return evidence.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tier")
+
+
 def moves(people: DataFrame, evidence: DataFrame, gated_kind: str = "github") -> DataFrame:
-    """Names of one kind at two laboratories or more; of the gated kind only if every side has evidence.
+    """Names of one kind at two laboratories or more; of the gated kind only if every side has
+    evidence of employment.
 
     People: id, kind, name, lab, first_seen, last_seen. Days between may be negative, where stays overlap."""
     tiers = evidence.groupBy(F.col("person_id").alias("id")).agg(F.sort_array(F.collect_set("tier")).alias("tiers"), F.slice(F.sort_array(F.collect_set("ref_url")), 1, 5).alias("sources"))
-    rows = people.join(tiers, "id", "left").withColumn("evidenced", F.coalesce(F.size("tiers") > 0, F.lit(False)))
+    rows = people.join(tiers, "id", "left").withColumn("evidenced", F.coalesce(F.arrays_overlap("tiers", F.array(*[F.lit(t) for t in EMPLOYMENT_TIERS])), F.lit(False)))
     side = F.struct("first_seen", "lab", "last_seen", "evidenced", "tiers", "sources")
     out = rows.groupBy("kind", "name").agg(F.sort_array(F.collect_list(side)).alias("sides"), F.countDistinct("lab").alias("labs"), F.bool_and("evidenced").alias("all_evidenced"))
     out = out.where("labs >= 2").where((F.col("kind") != gated_kind) | F.col("all_evidenced"))
@@ -97,9 +117,15 @@ def map_of_counts(rows: DataFrame, key: str, member: str, at: str) -> DataFrame:
     return per.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(entries).alias("counts"), F.min("lo").alias("first_seen"), F.max("hi").alias("last_seen"))
 
 
-def employment(corp: Column, vendor: Column, handle: Column, threshold: int = 3) -> Column:
-    """Confirmed by corporate commits, else vendor, else by the work handle, else unverified."""
-    return F.when(corp >= threshold, "confirmed").when(vendor > 0, "vendor").when(handle, "handle").when(corp > 0, "likely").otherwise("unverified")
+def employment(corp: Column, shared_domain: Column, vendor: Column, handle: Column) -> Column:
+    """Any commit from a corporate address confirms, one from a domain that a parent shares org-wide; else vendor, else the
+    work handle, else unknown."""
+    return F.when(corp > 0, F.when(shared_domain, "confirmed_org_wide").otherwise("confirmed")).when(vendor > 0, "vendor").when(handle, "handle").otherwise("unknown")
+
+
+def retiered(tier: Column, company_matches: Column, profile_missing: Column) -> Column:
+    """P20: a confirmed tier stands; then the company on the profile; a handle stands; a missing profile is a deleted account."""
+    return F.when(tier.isin(*EMPLOYMENT_TIERS), tier).when(company_matches, "profile").when(tier == "handle", tier).when(profile_missing, "deleted").otherwise(tier)
 
 
 def pivot_counts(rows: DataFrame, group: str, by: str, values: list[str]) -> DataFrame:

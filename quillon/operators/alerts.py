@@ -33,10 +33,10 @@ def budget_exceeded(spend: DataFrame) -> DataFrame:
     return _alert(spend.where("spent > ceiling"), "budget_exceeded", "system", "high", [F.col("scope"), F.col("scope_key")], F.concat("scope", F.lit(" over budget")))
 
 
-def drift(snapshots: DataFrame, floor: float) -> DataFrame:
-    """The newest snapshot is under the floor; the episode is named by the last good one."""
+def drift(snapshots: DataFrame, floor: float, version: str) -> DataFrame:
+    """The newest snapshot is under the floor; the episode is named by the version and the last good one."""
     ends = snapshots.agg(F.max_by(F.struct("id", "f1"), "id").alias("last"), F.max(F.when(F.col("f1") >= floor, F.col("id"))).alias("good"))
-    return _alert(ends.where(F.col("last.f1") < floor), "drift", "system", "high", [F.col("good")], F.concat(F.lit("agreement fell to "), F.round("last.f1", 3).cast("string")))
+    return _alert(ends.where(F.col("last.f1") < floor), "drift", "system", "high", [F.lit(version), F.lit("since"), F.coalesce(F.col("good").cast("string"), F.lit("since-first-measurement"))], F.concat(F.lit("agreement fell to "), F.round("last.f1", 3).cast("string")))
 
 
 def drift_unavailable(snapshots: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,17 +52,32 @@ def acknowledge(alerts: DataFrame, ids: list[int], at: Column) -> DataFrame:
     return alerts.withColumn("acknowledged_at", F.when(F.col("id").isin(*ids) & F.col("acknowledged_at").isNull(), at).otherwise(F.col("acknowledged_at")))
 
 
-def overwrite_atomically(df: DataFrame, path: str) -> None:
-    """M4, M5, M7: written beside, then swapped in by rename; a failure leaves the old table."""
-    spark = df.sparkSession
-    conf = spark._jsc.hadoopConfiguration()
+def recover(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at path, after a swap that a crash cut short has been undone: the old table comes back."""
+    fs, to = _files(spark, path)
+    if not fs.exists(to(path)) and fs.exists(to(f"{path}.old")):
+        fs.rename(to(f"{path}.old"), to(path))
+    return fs.exists(to(path))
+
+
+def _files(spark: SparkSession, path: str):
     to = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = to(path).getFileSystem(conf)
+    return to(path).getFileSystem(spark._jsc.hadoopConfiguration()), to
+
+
+def overwrite_atomically(df: DataFrame, path: str) -> None:
+    """M4, M5, M7: written beside, then swapped in by two renames.
+
+    A failure before them leaves the old table. One between them leaves it under .old, and recover() brings it back,
+    which every writer and reader that may follow a crash calls first; .old is deleted only once a table stands at path."""
+    fs, to = _files(df.sparkSession, path)
     df.write.mode("overwrite").parquet(f"{path}.new")
-    if fs.exists(to(path)):
+    if recover(df.sparkSession, path):
         fs.delete(to(f"{path}.old"), True)
-        fs.rename(to(path), to(f"{path}.old"))
-    fs.rename(to(f"{path}.new"), to(path))
+        if not fs.rename(to(path), to(f"{path}.old")):
+            raise OSError(f"{path} couldn't be moved aside")
+    if not fs.rename(to(f"{path}.new"), to(path)):
+        raise OSError(f"{path}.new couldn't be moved in")
     fs.delete(to(f"{path}.old"), True)
 
 

@@ -97,21 +97,25 @@ def co_occurrence(items: DataFrame, group: str, member: str, least: int = 1) ->
 
 
 def alias_proposals(names: DataFrame, co: DataFrame, appears: DataFrame) -> DataFrame:
-    """Pairs of one family name with compatible given names, their co-author overlap and a verdict.
+    """Pairs of one family name with compatible given names: co-authors in common, their Jaccard share and a verdict.
 
     names: name, given, family; co: name, others (a set); appears: name, articles (a set)."""
-    from quillon.functions.text import given_names_compatible
+    from quillon.functions.text import given_names_compatible, strip_accents
 
-    full = names.join(co, "name", "left").join(appears, "name", "left")
-    side = lambda s: full.select(*[F.col(c).alias(f"{c}_{s}") for c in ("name", "given", "others", "articles")], F.col("family"))
+    plain = F.trim(F.regexp_replace(F.lower(strip_accents("name")), r"[^\p{L}\p{N}]+", " "))
+    full = names.withColumn("plain", plain).join(co, "name", "left").join(appears, "name", "left")
+    side = lambda s: full.select(*[F.col(c).alias(f"{c}_{s}") for c in ("name", "given", "plain", "others", "articles")], F.col("family"))
     pairs = side("a").join(side("b"), "family").where("name_a < name_b").where(given_names_compatible(F.col("given_a"), F.col("given_b")))
-    common = F.size(F.array_intersect(F.coalesce("others_a", F.array()), F.coalesce("others_b", F.array())))
-    together = F.size(F.array_intersect(F.coalesce("articles_a", F.array()), F.coalesce("articles_b", F.array()))) > 0
-    verdict = F.when(together, "different: on one article").when(common > 0, "likely").otherwise("unknown")
-    return pairs.select("family", "name_a", "name_b", common.alias("common"), verdict.alias("verdict")).orderBy(F.desc("common"), "name_a", "name_b")
+    sets = lambda c: (F.coalesce(f"{c}_a", F.array()), F.coalesce(f"{c}_b", F.array()))
+    common = F.size(F.array_intersect(*sets("others")))
+    jaccard = F.coalesce(F.try_divide(common, F.size(F.array_union(*sets("others")))), F.lit(0.0))
+    together = F.size(F.array_intersect(*sets("articles"))) > 0
+    rank = F.when((F.col("plain_a") == F.col("plain_b")) & ~together, 0).when(together, 4).when((common >= 3) | (jaccard >= 0.3), 1).when(common > 0, 2).otherwise(3)
+    verdict = F.get(F.array(*[F.lit(v) for v in ("same_string", "likely_same", "review", "weak", "reject")]), rank)
+    return pairs.select("family", "name_a", "name_b", common.alias("common"), F.round(jaccard, 3).alias("jaccard"), verdict.alias("verdict")).orderBy(rank, F.desc("common"), "name_a", "name_b")
 
 
-def resolve_titles(wanted: DataFrame, found: DataFrame, threshold: float = 0.6) -> DataFrame:
+def resolve_titles(wanted: DataFrame, found: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The candidate of each wanted title: an equal one, else the one that shares most of its words, if enough.
 
     wanted: id, title; found: id, cand, cand_title."""

@@ -15,11 +15,15 @@ def by_period(rows: DataFrame, at: str, days: int) -> DataFrame:
 
 
 def missing_periods(published: DataFrame, end: Column, days: int, most: int = 7) -> DataFrame:
-    """Grid ends after the first edition up to end that have no edition: the latest few, oldest first.
-
-    Without any edition there is nothing to catch up on."""
-    first = published.agg(F.min("period_end").alias("first"))
-    grid = first.where("first is not null").select(F.explode(F.sequence("first", end, F.expr(f"INTERVAL {days} DAYS"))).alias("period_end"))
+    """The complete periods after the newest edition that have none: period_end on the epoch grid, and
+    publish_at, the moment that publishes it, one period later; the latest few, oldest first.
+
+    The period that the moment end itself publishes, the one before its own, is left to it. Without any edition there
+    is nothing to catch up on."""
+    number = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01")) / days).cast("int")
+    day = lambda n: F.date_add(F.lit("1970-01-01").cast("date"), n * days)
+    span = published.agg(F.max("period_end").alias("newest")).where("newest is not null").select((number(F.col("newest")) + 1).alias("first"), (number(end) - 2).alias("last"))
+    grid = span.where("first <= last").select(F.explode(F.sequence("first", "last")).alias("n")).select(day(F.col("n")).alias("period_end"), day(F.col("n") + 1).alias("publish_at"))
     return grid.join(published.select("period_end"), "period_end", "left_anti").orderBy(F.desc("period_end")).limit(most).orderBy("period_end")
 
 

@@ -38,14 +38,19 @@ def exposure_route(articles: DataFrame, edges: DataFrame, ceiling: float) -> Dat
 def named_route(articles: DataFrame, holdings: DataFrame, strength: float = 0.3) -> DataFrame:
     """Holdings (isin, name, aliases, ticker) that a text names: name, then aliases, then ticker; one hit each.
 
-    Names are a dimension; the theta join meets every text with every candidate once."""
+    A text meets only the names whose first word it holds: an equality join on the distinct words of texts and the
+    first words of names. The whole pattern then decides."""
     names = F.filter(F.array(F.struct(F.lit(0).alias("rank"), F.lit("name").alias("kind"), match_name(F.col("name")).alias("word"))), lambda x: x["word"].isNotNull())
     aliases = F.transform(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.length(a) >= MIN_ALIAS), lambda a, i: F.struct((i + 1).alias("rank"), F.lit("alias").alias("kind"), a.alias("word")))
     ticker = F.trim(F.coalesce("ticker", F.lit("")))
     tickers = F.when(F.length(ticker) >= MIN_TICKER, F.array(F.struct(F.lit(1_000_000).alias("rank"), F.lit("ticker").alias("kind"), ticker.alias("word"))))
     words = holdings.select("isin", F.explode(F.concat(names, aliases, F.coalesce(tickers, F.array().cast("array<struct<rank:int,kind:string,word:string>>")))).alias("c")).select("isin", "c.*")
     words = words.withColumn("pattern", F.when(F.col("kind") == "ticker", bounded_pattern(F.col("word"), False)).otherwise(bounded_pattern(F.col("word"), True)))
-    hits = articles.select("article", "text").join(words, F.expr("rlike(text, pattern)"))
+    tokens = lambda c: F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), "")
+    # A name without a word is looked for in every text.
+    words = words.withColumn("first", F.coalesce(F.get(tokens("word"), F.lit(0)), F.lit("")))
+    held = articles.select("article", "text", F.explode(F.array_append(F.array_distinct(tokens("text")), F.lit(""))).alias("first"))
+    hits = held.join(words, "first").where(F.expr("rlike(text, pattern)"))
     best = hits.groupBy("article", "isin").agg(F.min_by(F.concat_ws(":", "kind", "word"), F.struct("rank", "word")).alias("via"))
     return best.select("article", "isin", F.lit("named").alias("route"), "via", F.lit("mixed").alias("direction"), F.lit(strength).alias("strength"))
 
@@ -209,3 +214,15 @@ def overlay(current: DataFrame, layers: list[tuple[str, DataFrame]], key: str, v
         source = source.when(F.col(f"_{name}").isNotNull(), name)
     out = out.withColumn(value, F.coalesce(*[f"_{n}" for n, _ in layers])).withColumn("provenance", source.otherwise("blocked"))
     return out.drop(*[f"_{n}" for n, _ in layers])
+
+
+def many_by_label(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Each row with the sorted names (of labels: key, name) that belong to its key, which are one, many or none."""
+    names = labels.groupBy(key).agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return rows.join(names, key, "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+
+def missing_and_invented(truth: DataFrame, got: DataFrame, key: str) -> DataFrame:
+    """The keys that only one side has, and of which kind they are."""
+    both = truth.select(key, F.lit(True).alias("_t")).distinct().join(got.select(key, F.lit(True).alias("_g")).distinct(), key, "full_outer")
+    return both.where("_t is null or _g is null").select(key, F.when(F.col("_g").isNull(), "missing").otherwise("invented").alias("kind"))

@@ -82,3 +82,8 @@ def newest_per_url(snapshots: DataFrame) -> DataFrame:
     """The newest snapshot of each page that is no picture."""
     pages = snapshots.where(~F.col("url").rlike(r"(?i)\.(png|jpe?g|gif|svg|webp|ico)$"))
     return pages.groupBy("url").agg(F.max("timestamp").alias("timestamp"))
+
+
+def prefixed(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """P10: rows whose value starts with a prefix, which a scan takes as a range."""
+    return rows.where(F.col(column).startswith(prefix))

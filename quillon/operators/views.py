@@ -43,16 +43,21 @@ def month_to_date(sources: DataFrame, runs: DataFrame, month_start: Column) -> D
     return sources.join(inside, "run", "left_semi").agg(F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("spent"))
 
 
-def allocation(users: DataFrame, remaining: float, ceiling: int, floor: int) -> DataFrame:
-    """unknown projections get the ceiling, small ones their whole; the rest share what is left between floor and ceiling.
-
-    users: user, projected (null if unknown). Shares go by projection; totals are a one-row aggregate."""
-    known = F.col("projected")
-    fixed = F.when(known.isNull(), ceiling).when(known <= floor, known)
-    rows = users.withColumn("_fixed", fixed)
-    sums = rows.agg(F.coalesce(F.sum("_fixed"), F.lit(0)).alias("_f"), F.sum(F.when(F.col("_fixed").isNull(), known)).alias("_p"))
-    share = F.floor((F.lit(remaining) - F.col("_f")) * known / F.col("_p"))
-    return rows.crossJoin(F.broadcast(sums)).withColumn("cap", F.coalesce("_fixed", F.greatest(F.lit(floor), F.least(F.lit(ceiling), share))).cast("long")).drop("_fixed", "_f", "_p")
+def allocation(users: DataFrame, remaining: int, ceiling: int, floor: int, whole: int) -> DataFrame:
+    """an unknown projection gets a full page, which is expected to cost nothing; nothing is asked of a projection of 0; small
+    ones are taken whole; the others share what is left equally, between floor and ceiling, and get nothing if nothing is left.
+
+    users: user, projected (null if unknown). Totals are a one-row aggregate."""
+    known, most = F.col("projected"), min(ceiling, 100)
+    small = F.greatest(F.lit(5), F.least(known, F.lit(most)))
+    rows = users.where("projected is null or projected <> 0").withColumn("_small", F.when(known <= whole, small))
+    sums = rows.agg((F.lit(remaining) - F.coalesce(F.sum("_small"), F.lit(0))).alias("_budget"), F.count_if(known > whole).alias("_k"))
+    equal = F.floor(F.col("_budget") / F.col("_k"))
+    each = F.greatest(F.lit(floor), F.least(F.lit(most), equal))
+    each = F.when(each * F.col("_k") > F.col("_budget"), F.greatest(F.lit(5), equal)).otherwise(each)
+    share = F.when(F.col("_budget") > 0, F.greatest(F.lit(5), F.least(each, known)))
+    cap = F.when(known.isNull(), most).otherwise(F.coalesce("_small", share))
+    return rows.crossJoin(F.broadcast(sums)).withColumn("cap", cap.cast("long")).where("cap is not null").drop("_small", "_budget", "_k")
 
 
 def feed(rows: DataFrame, kind: str | None, order: list[str], limit: int, most: int = 200) -> DataFrame:

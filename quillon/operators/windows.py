@@ -173,3 +173,8 @@ def within_budget(rows: DataFrame, cost: str, order: list[Column], limit: float,
     """Rows in order as long as the running cost stays within the limit."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= limit)
+
+
+def byline_positions(articles: DataFrame, key: str, authors: str) -> DataFrame:
+    """A row for each author of a byline, an array in order: position from 1, and n_authors."""
+    return articles.select(key, F.posexplode(authors).alias("position", "name"), F.size(authors).alias("n_authors")).withColumn("position", F.col("position") + 1)

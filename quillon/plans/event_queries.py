@@ -32,12 +32,12 @@ def half_open(spark, d):
     return table(spark, d, "events").where((day > F.lit("2024-01-10").cast("date")) & (day <= F.lit("2024-01-12").cast("date"))).select("event_id")
 
 
-@query("""WITH p AS (SELECT DISTINCT CAST(ts AS DATE) AS period_end FROM events WHERE event_type = 'signup' AND value > 80), f AS (SELECT min(period_end) AS lo FROM p),
-g AS (SELECT CAST(unnest(generate_series(lo, DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS period_end FROM f) SELECT CAST(period_end AS VARCHAR) AS period_end FROM g WHERE period_end NOT IN (SELECT period_end FROM p) ORDER BY period_end DESC LIMIT 7""")
+@query("""WITH p AS (SELECT DISTINCT CAST(ts AS DATE) AS period_end FROM events WHERE event_type = 'signup' AND value > 80), f AS (SELECT max(period_end) AS hi FROM p),
+g AS (SELECT CAST(unnest(generate_series(hi + 1, DATE '2024-02-20' - 2, INTERVAL 1 DAY)) AS DATE) AS period_end FROM f) SELECT CAST(period_end AS VARCHAR) AS period_end, CAST(period_end + 1 AS VARCHAR) AS publish_at FROM g WHERE period_end NOT IN (SELECT period_end FROM p) ORDER BY period_end DESC LIMIT 7""")
 def backfill(spark, d):
-    """Days without an edition, the latest seven."""
+    """Days after the newest edition, the latest seven."""
     published = table(spark, d, "events").where("event_type = 'signup' and value > 80").select(F.col("ts").cast("date").alias("period_end")).distinct()
-    return I.missing_periods(published, F.lit("2024-01-31").cast("date"), 1).withColumn("period_end", F.col("period_end").cast("string"))
+    return I.missing_periods(published, F.lit("2024-02-20").cast("date"), 1).select(F.col("period_end").cast("string").alias("period_end"), F.col("publish_at").cast("string").alias("publish_at"))
 
 
 @query("""WITH o AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events)

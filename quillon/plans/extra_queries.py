@@ -55,9 +55,11 @@ def carried_forward(spark, d):
     return out.select(F.col("url").alias("l_orderkey"), "l_partkey", "l_suppkey", "l_linenumber")
 
 
-@query("""WITH u AS (SELECT user_id, CASE WHEN bool_or(event_type = 'signup') THEN count(*) END AS p FROM events GROUP BY 1), f AS (SELECT user_id, p, CASE WHEN p IS NULL THEN 40 WHEN p <= 8 THEN p END AS fixed FROM u),
-s AS (SELECT coalesce(sum(fixed), 0) AS sf, sum(p) FILTER (fixed IS NULL) AS sp FROM f) SELECT user_id, CAST(coalesce(fixed, greatest(8, least(40, floor((20000.0::DOUBLE - sf) * p / sp)))) AS BIGINT) AS cap FROM f, s""")
+@query("""WITH u AS (SELECT user_id, CASE WHEN bool_or(event_type = 'signup') THEN count(*) END AS p FROM events GROUP BY 1), f AS (SELECT user_id, p, CASE WHEN p <= 8 THEN greatest(5, least(40, p)) END AS small FROM u),
+s AS (SELECT 20000 - coalesce(sum(small), 0) AS budget, count(*) FILTER (p > 8) AS k FROM f), e AS (SELECT budget, k, greatest(8, least(40, budget // k)) AS each FROM s),
+g AS (SELECT budget, CASE WHEN each * k > budget THEN greatest(5, budget // k) ELSE each END AS each FROM e)
+SELECT user_id, CAST(CASE WHEN p IS NULL THEN 40 ELSE coalesce(small, greatest(5, least(each, p))) END AS BIGINT) AS cap FROM f, g WHERE p IS NULL OR small IS NOT NULL OR budget > 0""")
 def post_allocation(spark, d):
-    """users without a signup are the ones of unknown rate."""
+    """users without a signup are the ones of unknown rate."""
     users = table(spark, d, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "signup").alias("known"), F.count(F.lit(1)).alias("n"))
-    return V.allocation(users.select("user_id", F.when(F.col("known"), F.col("n")).alias("projected")), 20000.0, 40, 8).select("user_id", "cap")
+    return V.allocation(users.select("user_id", F.when(F.col("known"), F.col("n")).alias("projected")), 20000, 40, 8, 8).select("user_id", "cap")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions.maths import sign_product
-from quillon.functions.text import bounded_pattern
 from quillon.operators import aggregates as A
 from quillon.operators import joins as J
 from quillon.operators import topk as K
@@ -96,8 +95,12 @@ SELECT route, direction, count(*) AS n_rows, round(sum(strength), 3) AS total FR
 def routes_best_per_key(spark, d):
     """The whole union, one row a key, summed up by route and direction."""
     mech = J.mechanism_route(_tags(spark, d), _edges(spark, d), 0.9).withColumn("via", F.col("via").cast("string"))
-    cat = J.category_route(_category_tags(spark, d), _membership(spark, d), _routable(spark, d), 0.5)
-    rows = J.union_best([mech, cat], ["article", "isin", "route", "via"])
+    # All holdings of a category share its tags: the best tag is chosen before the category meets its holdings.
+    own = _membership(spark, d).select(F.col("category").alias("isin"), "category").distinct()
+    keys = ["article", "isin", "route", "via"]
+    best = J.union_best([J.category_route(_category_tags(spark, d), own, _routable(spark, d), 0.5)], keys)
+    cat = best.drop("isin").join(_membership(spark, d).withColumnRenamed("category", "via"), "via")
+    rows = J.union_best([mech], keys).unionByName(cat.select(*J.CONNECTION))
     return rows.groupBy("route", "direction").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("strength"), 3).alias("total"))
 
 
@@ -109,8 +112,11 @@ SELECT route, direction, count(*) AS n_rows FROM k GROUP BY ALL""")
 def contradiction_anti(spark, d):
     """J8."""
     mech = J.mechanism_route(_tags(spark, d), _edges(spark, d), 0.9).withColumn("via", F.col("via").cast("string"))
-    cat = J.category_route(_category_tags(spark, d), _membership(spark, d), _routable(spark, d), 0.5)
-    rows = mech.unionByName(cat).groupBy("article", "isin", "route", "via", "direction").agg(F.max("strength").alias("strength"))
+    # The strongest tag of each direction, before the category meets its holdings.
+    own = _membership(spark, d).select(F.col("category").alias("isin"), "category").distinct()
+    best = lambda rows: rows.groupBy("article", "isin", "route", "via", "direction").agg(F.max("strength").alias("strength"))
+    cat = best(J.category_route(_category_tags(spark, d), own, _routable(spark, d), 0.5)).drop("isin").join(_membership(spark, d).withColumnRenamed("category", "via"), "via")
+    rows = best(mech).unionByName(cat.select(*J.CONNECTION))
     return J.drop_contradicted(rows).groupBy("route", "direction").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -122,9 +128,9 @@ _WORD_VALUES = ", ".join(f"({i}, '{w}')" for i, w in enumerate(_WORDS))
 WHERE list_contains(ts, w) GROUP BY doc_id""")
 def named_mention(spark, d):
     """The first of twelve names that a document has as a word."""
-    words = spark.createDataFrame(list(enumerate(_WORDS)), "i int, w string").withColumn("pattern", bounded_pattern(F.col("w"), False))
-    hits = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")).join(F.broadcast(words), F.expr("rlike(t, pattern)"))
-    return hits.groupBy("doc_id").agg(F.min_by("w", "i").alias("via"))
+    holdings = spark.createDataFrame([(str(i), None, [w], None) for i, w in enumerate(_WORDS)], "isin string, name string, aliases array<string>, ticker string")
+    hits = J.named_route(table(spark, d, "documents").select(F.col("doc_id").alias("article"), "text"), holdings)
+    return hits.groupBy(F.col("article").alias("doc_id")).agg(F.min_by(F.substring_index("via", ":", -1), F.col("isin").cast("int")).alias("via"))
 
 
 @query("SELECT o_orderkey AS key, o_orderpriority FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")

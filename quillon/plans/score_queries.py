@@ -28,8 +28,7 @@ def _tags(spark, d):
 
 def _scored(spark, d):
     orders = table(spark, d, "orders")
-    rows = A.event_scores(orders, _tags(spark, d), "o_orderkey", F.expr(_EVENT).cast("double"))
-    return A.practice_scores(rows, _tags(spark, d), "o_orderkey", _ACTIONS)
+    return A.both_scores(orders, _tags(spark, d), "o_orderkey", F.expr(_EVENT).cast("double"), _ACTIONS)
 
 
 _SCORED = f"""WITH s AS (SELECT o_orderkey, any_value(o_custkey) AS o_custkey, any_value(o_orderdate) AS o_orderdate, any_value(o_orderpriority) AS o_orderpriority,

@@ -81,7 +81,7 @@ def substance_filter(spark, d):
 
 @query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2)) AS a FROM documents),
 b AS (SELECT list_distinct(flatten(list(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2)))) AS b FROM benchmark)
-SELECT doc_id, round(coalesce(len(list_filter(a, lambda x: list_contains(b, x) AND NOT list_contains(['the','and','for','with','from','that','this','are','was','our','its','into','via','towards','toward','using','can','how','what','when'], x))) / nullif(len(list_filter(a, lambda x: NOT list_contains(['the','and','for','with','from','that','this','are','was','our','its','into','via','towards','toward','using','can','how','what','when'], x))), 0), 0), 6) AS overlap FROM w, b""")
+SELECT doc_id, round(coalesce(len(list_filter(a, lambda x: list_contains(b, x) AND NOT list_contains(['a','an','the','of','for','to','in','on','and','or','with','is','are','be','this','that','from','as','by','we','present','system','via','using','based','into','at','its','their'], x))) / nullif(len(list_filter(a, lambda x: NOT list_contains(['a','an','the','of','for','to','in','on','and','or','with','is','are','be','this','that','from','as','by','we','present','system','via','using','based','into','at','its','their'], x))), 0), 0), 6) AS overlap FROM w, b""")
 def token_overlap(spark, d):
     """The share of a document's content words that the benchmark's vocabulary has, by a semi join on words
     instead of a list of the whole vocabulary."""

@@ -77,13 +77,11 @@ def failure_streaks(events: DataFrame, key: str) -> DataFrame:
 def upserting(target: str, key: str, order: str, schema):
     """M1, M11 as a foreachBatch function: the batch lands before the checkpoint advances, and a batch that runs twice
     changes nothing."""
-    from quillon.operators.dml import overwrite_atomically
+    from quillon.operators.dml import overwrite_atomically, recover
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        rows = spark.read.schema(schema).parquet(target).unionByName(batch) if there else batch
+        rows = spark.read.schema(schema).parquet(target).unionByName(batch) if recover(spark, target) else batch
         overwrite_atomically(rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*"), target)
 
     return write

@@ -121,7 +121,9 @@ def test_periods_partition_time(spark):
     out = I.by_period(df, "d", 3).collect()
     assert all(r.period_end >= r.d > r.period_end - dt.timedelta(days=3) for r in out)
     published = spark.createDataFrame([(day(0),), (day(2),)], "period_end date")
-    assert [r.period_end for r in I.missing_periods(published, F.lit(str(day(4))).cast("date"), 1).collect()] == [day(1), day(3), day(4)]
+    got = I.missing_periods(published, F.lit(str(day(6))).cast("date"), 1).collect()
+    assert [(r.period_end, r.publish_at) for r in got] == [(day(3), day(4)), (day(4), day(5))]
+    assert I.missing_periods(published, F.lit(str(day(4))).cast("date"), 1).count() == 0
     assert I.missing_periods(published.limit(0), F.lit(str(day(4))).cast("date"), 1).count() == 0
 
 
@@ -154,8 +156,8 @@ def test_alert_rules(spark):
     states = spark.createDataFrame([("s", 3, dt.datetime(2025, 1, 1), False, dt.datetime(2024, 12, 1)), ("t", 3, None, True, None)], "source_id string, consecutive_failures int, last_success_at timestamp, disabled boolean, watermark timestamp")
     snaps = spark.createDataFrame([(1, 0.9), (2, 0.4)], "id long, f1 double")
     runs = spark.createDataFrame([(7, "failed", None), (8, "ok", None)], "id long, status string, alerted_at timestamp")
-    got = L.evaluate([L.source_down(states, 3), L.drift(snaps, 0.5), L.run_failed(runs), L.watermark_stalled(states, 7)]).collect()
-    assert [r.rule for r in got] == ["drift", "run_failed", "source_down", "watermark_stalled"] and got[0].dedupe_key == "drift:1"
+    got = L.evaluate([L.source_down(states, 3), L.drift(snaps, 0.5, "v9"), L.run_failed(runs), L.watermark_stalled(states, 7)]).collect()
+    assert [r.rule for r in got] == ["drift", "run_failed", "source_down", "watermark_stalled"] and got[0].dedupe_key == "drift:v9:since:1"
 
 
 def test_quality_rules(spark):
@@ -177,3 +179,74 @@ def test_lists_and_filters(spark):
     assert spread.named == ["A"] and spread.others == 1
     tail = G.recommend_band(G.threshold_curve(spark.createDataFrame([(0.9, True), (0.2, False), (0.6, True)], "s double, t boolean"), "s", "t", [0.1, 0.5, 0.95])).first()
     assert (tail.high, tail.low) == (0.5, 0.5)
+
+
+def test_swaps_survive_a_crash_at_each_step(spark, tmp_path):
+    import os
+    import shutil
+
+    from quillon.streaming.jobs import upserting
+
+    path = str(tmp_path / "t")
+    rows = lambda: sorted(r.id for r in spark.read.parquet(path).collect())
+    batch = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "id long, v long")
+    write = upserting(path, "id", "v", batch(1).schema)
+    write(batch(1, 2), 0)
+    batch(9).write.parquet(f"{path}.new")  # before the renames
+    write(batch(3), 1)
+    assert rows() == [1, 2, 3]
+    os.rename(path, f"{path}.old")  # between them, with or without the new table
+    write(batch(4), 2)
+    assert rows() == [1, 2, 3, 4]
+    os.rename(path, f"{path}.old")
+    batch(1, 2, 3, 4, 5).write.parquet(f"{path}.new")
+    assert dml.recover(spark, path) and rows() == [1, 2, 3, 4]
+    shutil.copytree(path, f"{path}.old")  # after them, before the old table goes
+    write(batch(5), 3)
+    assert rows() == [1, 2, 3, 4, 5] and not os.path.exists(f"{path}.old") and not dml.recover(spark, str(tmp_path / "none"))
+
+
+def test_moves_need_employment_on_every_side(spark):
+    people = spark.createDataFrame([(1, "github", "h", "a", day(0), day(1)), (2, "github", "h", "b", day(5), day(6))], "id long, kind string, name string, lab string, first_seen date, last_seen date")
+    for tiers, n in ((("unknown", "unknown"), 0), (("confirmed", "handle"), 0), (("confirmed", "confirmed_org_wide"), 1)):
+        evidence = spark.createDataFrame([(k + 1, "u", t) for k, t in enumerate(tiers)], "person_id long, ref_url string, tier string")
+        assert A.moves(people, evidence).count() == n
+        overview = A.register_overview(people.withColumnRenamed("kind", "source_kind"), evidence)
+        assert sum(r.evidenced for r in overview.collect()) == sum(t.startswith("confirmed") for t in tiers)
+
+
+def test_employment_and_its_later_tiers(spark):
+    c = F.col
+    rows = [(1, False, 0, False, "confirmed"), (1, True, 2, True, "confirmed_org_wide"), (0, True, 1, True, "vendor"), (0, False, 0, True, "handle"), (0, False, 0, False, "unknown")]
+    df = spark.createDataFrame(rows, "corp int, shared boolean, vendor int, handle boolean, want string").withColumn("tier", A.employment(c("corp"), c("shared"), c("vendor"), c("handle")))
+    assert all(r.tier == r.want for r in df.collect())
+    cases = [("confirmed", True, True, "confirmed"), ("handle", True, False, "profile"), ("handle", False, True, "handle"), ("vendor", False, True, "deleted"), ("unknown", False, False, "unknown")]
+    df = spark.createDataFrame(cases, "tier string, company boolean, missing boolean, want string").withColumn("now", A.retiered(c("tier"), c("company"), c("missing")))
+    assert all(r.now == r.want for r in df.collect())
+
+
+def test_alias_verdicts(spark):
+    names = [("Ann Lee", "ann"), ("Ann. Lee", "ann"), ("Annie Lee", "annie"), ("A Lee", "a"), ("Bob Lee", "bob")]
+    df = spark.createDataFrame([(n, g, "lee") for n, g in names], "name string, given string, family string")
+    co = spark.createDataFrame([("Ann Lee", ["x", "y", "z"]), ("Annie Lee", ["x", "y", "z", "q"]), ("Ann. Lee", ["k"])], "name string, others array<string>")
+    appears = spark.createDataFrame([("Ann. Lee", ["p"]), ("Annie Lee", ["p"])], "name string, articles array<string>")
+    got = {(r.name_a, r.name_b): r.verdict for r in G.alias_proposals(df, co, appears).collect()}
+    assert got == {("Ann Lee", "Ann. Lee"): "same_string", ("Ann Lee", "Annie Lee"): "likely_same", ("Ann. Lee", "Annie Lee"): "reject"}
+
+
+def test_half_even_rounding_on_the_binary_value(spark):
+    from quillon.functions.maths import round_binary
+
+    values = [0.5, 1.5, 2.5, 2.675, 1.005, -0.125, 0.125, 1e300, None]
+    got = [r.r for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", round_binary(F.col("v"), 2).alias("r")).orderBy("i").collect()]
+    assert got == [None if v is None else round(v, 2) for v in values]
+
+
+def test_named_route_by_words(spark):
+    texts = [(1, "Nvidia Corp. and C++ rule"), (2, "the AMD chip, not amd"), (3, "renvidia"), (4, None)]
+    holdings = [("a", "NVIDIA Corporation", ["c++"], None), ("b", "Advanced Micro", None, "AMD"), ("c", None, ["+++"], "amd")]
+    from quillon.operators import joins as J
+
+    got = J.named_route(spark.createDataFrame(texts, "article int, text string"), spark.createDataFrame(holdings, "isin string, name string, aliases array<string>, ticker string")).collect()
+    assert sorted((r.article, r.isin, r.via.split(":")[0]) for r in got) == [(1, "a", "name"), (2, "b", "ticker"), (2, "c", "ticker")]
+

@@ -53,11 +53,14 @@ def test_names_numbers_and_posts(spark):
     parts = one(spark, X.name_parts(F.col("n")), n="José M. Núñez")
     assert (parts.given, parts.family) == ("jose", "nunez")
     fits = lambda a, b: one(spark, X.given_names_compatible(F.col("a"), F.col("b")), a=a, b=b)
-    assert fits("sam", "samuel") and fits("", "x") and not fits("ann", "bob") and not fits("jonathan", "jonathon")
+    assert fits("sam", "samuel") and fits("", "x") and not fits("ann", "bob") and not fits("jonathan", "jonathon") and fits("samuel", "sammie") and not fits("jo", "joan")
+    shape = lambda t: one(spark, X.looks_like_a_name(F.col("t")), t=t)
+    assert shape("Li") and shape("Ann B. Lee") and not shape("PPO") and not shape("Junxiao Song proposed") and not shape("A B C D E") and not shape("X" * 41) and not shape("li")
+    assert one(spark, X.tidy_fund_name(F.col("t")), t="Amazon.comInc. ABCHoldings 3M5GFund") == "Amazon.com Inc. ABC Holdings 3 M5 G Fund"
     assert one(spark, X.german_number(F.col("n")), n="1.234,56") == 1234.56 and one(spark, X.german_number(F.col("n")), n="x") is None
     assert one(spark, X.substance(F.col("t")), t="congrats @some_one 🎉 #win https://t.co/x") == "congrats win"
     assert one(spark, X.humanise(F.col("t")), t="open_weights") == "Open weights"
-    assert one(spark, X.shortened(F.col("t"), 5), t="abcdefgh") == "abcd…"
+    assert one(spark, X.shortened(F.col("t"), 5), t="abcdefgh") == "abcde…"
     assert one(spark, X.document_type(F.col("l"), F.col("t")), l="x", t="GPT-5 System Card") == "system_card"
     assert one(spark, X.document_type(F.col("l"), F.col("t")), l="anthropic", t="Notes") == "interpretability"
 

@@ -29,8 +29,11 @@ def test_items_and_digest(spark):
 
 def test_feeds_and_allocation(spark):
     users = spark.createDataFrame([("a", None), ("b", 2), ("c", 30), ("d", 60)], "user string, projected int")
-    caps = {r.user: r.cap for r in V.allocation(users, 100.0, 40, 5).collect()}
-    assert caps == {"a": 40, "b": 2, "c": 19, "d": 38}
+    caps = {r.user: r.cap for r in V.allocation(users, 100, 40, 5, 5).collect()}
+    assert caps == {"a": 40, "b": 5, "c": 30, "d": 40}
+    rich = spark.createDataFrame([("a", None), ("b", 100), ("c", 300), ("d", 0)], "user string, projected int")
+    assert {r.user: r.cap for r in V.allocation(rich, 200, 100, 5, 20).collect()} == {"a": 100, "b": 100, "c": 100}
+    assert {r.user for r in V.allocation(rich, 0, 100, 5, 20).collect()} == {"a"}
     runs = spark.createDataFrame([(1, "ok", dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 1, 0, 1)), (2, "running", dt.datetime(2025, 1, 2), None)], "id long, status string, started_at timestamp, finished_at timestamp")
     got = V.described_runs(runs, F.lit("2025-01-02 00:00:30").cast("timestamp")).orderBy("id").collect()
     assert [(r.seconds, r.is_current) for r in got] == [(60, False), (30, True)]
