@@ -56,7 +56,7 @@ def quoted(text: Column) -> Column:
 
 def bounded_pattern(word: Column, ignore_case: bool) -> Column:
     """A pattern for a word that isn't part of a longer one, in any script."""
-    return F.concat(F.lit(("(?i)" if ignore_case else "") + r"(^|[^\p{L}\p{N}_])"), quoted(word), F.lit(r"([^\p{L}\p{N}_]|$)"))
+    return F.concat(F.lit(("(?iu)" if ignore_case else "") + r"(^|[^\p{L}\p{N}_])"), quoted(word), F.lit(r"([^\p{L}\p{N}_]|$)"))
 
 
 def model_pattern(families: list[str], parts: int) -> str:

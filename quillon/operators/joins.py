@@ -49,8 +49,9 @@ def named_route(articles: DataFrame, holdings: DataFrame, strength: float = 0.3)
     tokens = lambda c: F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), "")
     # A name without a word is looked for in every text.
     words = words.withColumn("first", F.coalesce(F.get(tokens("word"), F.lit(0)), F.lit("")))
-    held = articles.select("article", "text", F.explode(F.array_append(F.array_distinct(tokens("text")), F.lit(""))).alias("first"))
-    hits = held.join(words, "first").where(F.expr("rlike(text, pattern)"))
+    held = articles.select("article", F.explode(F.array_append(F.array_distinct(tokens("text")), F.lit(""))).alias("first"))
+    # The text isn't carried along with each of its words; it joins the few that are left.
+    hits = articles.select("article", "text").join(held.join(words, "first"), "article").where(F.expr("rlike(text, pattern)"))
     best = hits.groupBy("article", "isin").agg(F.min_by(F.concat_ws(":", "kind", "word"), F.struct("rank", "word")).alias("via"))
     return best.select("article", "isin", F.lit("named").alias("route"), "via", F.lit("mixed").alias("direction"), F.lit(strength).alias("strength"))
 
