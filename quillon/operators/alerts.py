@@ -52,7 +52,7 @@ def high_band(items: DataFrame, floor: str, since: Column) -> DataFrame:
 
 def holding_impact(connections: DataFrame, articles: DataFrame, holdings: DataFrame, least: float, since: Column) -> DataFrame:
     """One alert per article and holding, for its strongest connection."""
-    strong = connections.where(F.col("strength") >= least).join(articles.where(F.col("published_on") >= since), "article").join(F.broadcast(holdings.select("isin", F.col("name").alias("holding"))), "isin")
+    strong = connections.where(F.col("strength") >= least).join(articles.where(F.col("published_on") >= since), "article").join(holdings.select("isin", F.col("name").alias("holding")), "isin")
     best = strong.groupBy("url", "isin").agg(F.max_by(F.struct("title", "holding", "strength"), F.struct("strength", "via")).alias("b"))
     return _alert(best.orderBy(F.desc("b.strength"), "url", "isin"), "holding_impact", "item", "medium", [F.col("url"), F.col("isin")], F.concat("b.holding", F.lit(": "), F.col("b.title")))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.maths import LEVELS, lookup
+from quillon.functions.maths import LEVELS, lookup, round_binary
 from quillon.operators.windows import average_rank
 
 
@@ -121,6 +123,18 @@ def label_diff(a: DataFrame, b: DataFrame, key: str, tag: str, value: str) -> Da
     return both.withColumn("kind", kind).where("kind is not null")
 
 
+def label_impact(base: DataFrame, diffs: DataFrame, key: str, tag: str, value: str, score: Callable[[Column], Column], digits: int = 1) -> DataFrame:
+    """label_diff(other, base)'s rows with the change of the score if base took this one side's label.
+
+    score turns an item's values, an array that may be empty, into a number; items are rescored once a difference."""
+    tags = base.groupBy(key).agg(F.collect_list(F.struct(F.col(tag).alias("t"), F.col(value).alias("v"))).alias("_tags"))
+    rows = diffs.join(tags, key, "left").withColumn("_tags", F.coalesce("_tags", F.array().cast(tags.schema["_tags"].dataType)))
+    rest = F.transform(F.filter("_tags", lambda x: x["t"] != F.col(tag)), lambda x: x["v"])
+    after = F.when(F.col("a").isNull(), rest).otherwise(F.concat(rest, F.array("a")))
+    change = score(after) - score(F.transform("_tags", lambda x: x["v"]))
+    return rows.withColumn("impact", round_binary(change, digits)).drop("_tags")
+
+
 def apply_verdicts(tags: DataFrame, verdicts: DataFrame, key: str, tag: str, value: str) -> DataFrame:
     """Drop removes, adjust replaces the value, add brings a tag, confirm and no verdict keep it."""
     both = tags.select(key, tag, value).join(verdicts.select(key, tag, "verdict", F.col(value).alias("_new")), [key, tag], "full_outer")

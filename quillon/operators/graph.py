@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.maths import dot, normalised
@@ -78,7 +78,7 @@ def significance(score: str, ai_score: str):
 def resolve_identities(items: DataFrame, identities: DataFrame, aliases: DataFrame) -> DataFrame:
     """Items (kind, value, lab, name) -> person: the known identity, else the alias's canonical name, else the name."""
     known = items.join(identities.select("kind", "value", "lab", "person"), ["kind", "value", "lab"], "left")
-    out = known.join(F.broadcast(aliases.select(F.col("alias").alias("name"), "canonical")), "name", "left")
+    out = known.join(aliases.select(F.col("alias").alias("name"), "canonical"), "name", "left")
     return out.withColumn("person", F.coalesce("person", "canonical", "name"))
 
 
@@ -115,17 +115,25 @@ def alias_proposals(names: DataFrame, co: DataFrame, appears: DataFrame) -> Data
     return pairs.select("family", "name_a", "name_b", common.alias("common"), F.round(jaccard, 3).alias("jaccard"), verdict.alias("verdict")).orderBy(rank, F.desc("common"), "name_a", "name_b")
 
 
-def resolve_titles(wanted: DataFrame, found: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The candidate of each wanted title: an equal one, else the one that shares most of its words, if enough.
+def resolve_titles(wanted: DataFrame, exact: DataFrame, relaxed: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The candidate of each wanted title and how it was found; titles without a trustworthy one go.
 
-    wanted: id, title; found: id, cand, cand_title."""
+    wanted: id, title, description; exact, relaxed: what a search by title and one by any field found: id, seq, cand, cand_title,
+    summary. First an exact hit of equal title, of several the first; else the only exact hit, if it has enough of the
+    title's words; else the relaxed hit whose summary has most of the description's words, if enough."""
     from quillon.functions.text import content_words, overlap
 
-    same = (normalised_title(F.col("title")) == normalised_title(F.col("cand_title"))).cast("double")
-    near = F.coalesce(overlap(content_words(F.col("title")), content_words(F.col("cand_title"))), F.lit(0.0))
-    scored = wanted.join(found, "id").withColumn("score", F.when(same == 1, 2.0).otherwise(near)).where(F.col("score") >= threshold)
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "cand")
-    return scored.withColumn("n", F.row_number().over(order)).where("n = 1").select("id", "cand", "score")
+    share = lambda a, b: F.coalesce(overlap(content_words(F.col(a)), content_words(F.col(b))), F.lit(0.0))
+    first = wanted.join(exact, "id").withColumn("same", normalised_title(F.col("title")) == normalised_title(F.col("cand_title")))
+    hits = first.groupBy("id").agg(
+        F.min(F.when(F.col("same"), F.struct("seq", "cand"))).alias("equal"), F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "cand")).alias("only"),
+        F.max(share("title", "cand_title")).alias("near"),
+    )
+    pick = F.when(F.col("equal").isNotNull(), F.col("equal.cand")).when((F.col("n") == 1) & (F.col("near") >= threshold), F.col("only.cand"))
+    by_title = hits.select("id", pick.alias("cand"), F.lit("exact_title").alias("resolution")).where("cand is not null")
+    second = wanted.join(by_title, "id", "left_anti").join(relaxed, "id").withColumn("near", share("description", "summary"))
+    best = second.groupBy("id").agg(F.max(F.struct("near", (-F.col("seq")).alias("back"), "cand")).alias("best")).where(F.col("best.near") >= threshold)
+    return by_title.unionByName(best.select("id", F.col("best.cand").alias("cand"), F.lit("relaxed_title").alias("resolution")))
 
 
 def threshold_curve(scored: DataFrame, score: str, truth: str, grid: list[float]) -> DataFrame:

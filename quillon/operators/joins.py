@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.maths import opposite, sign_product, weight
-from quillon.functions.text import MIN_ALIAS, MIN_TICKER, bounded_pattern, match_name
+from quillon.functions.text import MIN_ALIAS, MIN_TICKER, bounded_pattern, match_name, stem
 
 CONNECTION = ("article", "isin", "route", "via", "direction", "strength")
 
@@ -105,13 +105,29 @@ def band_pairs(rows: DataFrame, key: str, same: list[str], day: str, days: int,
 def overlap_links(left: DataFrame, right: DataFrame, same: str, words: str, day: str, days: int) -> DataFrame:
     """(a, b, evidence) where both share a word within a time band; the evidence is the longest word, then the first.
 
-    left, right: id, the group, an array of words and a day."""
-    a = left.select(F.col("id").alias("a"), same, F.col(day).alias("day_a"), F.explode(F.array_distinct(words)).alias("word"))
-    b = right.select(F.col("id").alias("b"), same, F.col(day).alias("day_b"), F.explode(F.array_distinct(words)).alias("word"))
-    pairs = a.join(b, [same, "word"]).where(F.abs(F.datediff("day_a", "day_b")) <= days)
+    left, right: id, the group, an array of words and a day. Days are cut into buckets as wide as the band, and the left
+    side looks at its own and the next on both sides, so a common word doesn't meet itself over all time."""
+    number = F.datediff(F.col(day), F.lit("1970-01-01"))
+    bucket = F.floor(number / max(1, days))
+    word = F.explode(F.array_distinct(words)).alias("word")
+    a = left.select(F.col("id").alias("a"), same, number.alias("day_a"), bucket.alias("at"), word).withColumn("at", F.explode(F.array(*[F.col("at") + n for n in (-1, 0, 1)])))
+    b = right.select(F.col("id").alias("b"), same, number.alias("day_b"), bucket.alias("at"), word)
+    pairs = a.join(b, [same, "word", "at"]).where(F.abs(F.col("day_a") - F.col("day_b")) <= days)
     return pairs.groupBy("a", "b").agg(F.min(F.struct((-F.length("word")).alias("n"), F.col("word"))).getField("word").alias("evidence"))
 
 
+def release_links(rows: DataFrame, events: list[str], days: int, most: int = 3) -> DataFrame:
+    """(a, b, evidence) of a release and an announcement of one laboratory that name the same model.
+
+    rows: id, lab, event_type, repo (null or empty unless a release), models, day. models: the identifiers of a release's body
+    or of an announcement's title; they also meet by their stems. A release that names more than `most` is about none; an
+    announcement counts only if its event type is one of `events`."""
+    release = F.coalesce(F.col("repo") != "", F.lit(False))
+    words = rows.withColumn("words", F.array_union("models", F.transform("models", stem)))
+    from_ = words.where(release & (F.size(F.array_distinct("models")) <= most))
+    return overlap_links(from_, words.where(~release & F.col("event_type").isin(*events)), "lab", "words", "day", days)
+
+
 def known_link(rows: DataFrame, key: str, links: str, known: DataFrame) -> DataFrame:
     """The first link of a row that the known ones (url) hold, closing slashes aside; null if none."""
     each = rows.select(key, F.posexplode(links).alias("pos", "link"))
@@ -193,11 +209,25 @@ def anchor_links(links: DataFrame, groups: DataFrame) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def not_contained(words: DataFrame, texts: DataFrame, word: str, text: str) -> DataFrame:
-    """Words that no text contains. The words are a short list and are broadcast; every text is met once."""
-    small = F.broadcast(words.select(F.col(word).alias("_w")).distinct())
-    seen = texts.select(F.col(text).alias("_t")).join(small, F.expr("contains(lower(_t), lower(_w))")).select("_w").distinct()
-    return words.join(seen, F.col(word) == F.col("_w"), "left_anti")
+#: Words that not_contained broadcasts; more of them meet the texts by their first letters.
+MOST_WORDS = 10_000
+
+
+def not_contained(words: DataFrame, texts: DataFrame, word: str, text: str, most: int = MOST_WORDS) -> DataFrame:
+    """Words that no text contains; an empty word is in every text, a null one in none.
+
+    The words are counted: at most `most` are broadcast and every text is met once. More meet on an equality of their first
+    three letters and the texts' stretches of three (or fewer, for shorter words), and contains() decides."""
+    small = words.select(F.col(word).alias("_w"), F.lower(F.col(word)).alias("_l")).distinct()
+    low = texts.select(F.lower(F.col(text)).alias("_t"))
+    if small.limit(most + 1).count() <= most:
+        seen = low.join(F.broadcast(small), F.expr("contains(_t, _l)")).select("_w")
+    else:
+        starts = small.select("_w", "_l", F.substring("_l", 1, 3).alias("_start"))
+        lengths = F.sequence(F.lit(0), F.length("_t"))
+        pieces = F.array_distinct(F.flatten(F.transform(lengths, lambda i: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("_t"), i + 1, n)))))
+        seen = low.withColumn("_start", F.explode(pieces)).join(starts, "_start").where("contains(_t, _l)").select("_w")
+    return words.join(seen.distinct(), F.col(word) == F.col("_w"), "left_anti")
 
 
 def merged_by_key(rows: DataFrame, key: str, name: str, seq: str, sums: list[str]) -> DataFrame:

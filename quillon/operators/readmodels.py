@@ -26,7 +26,7 @@ def items(articles: DataFrame, tags: DataFrame, connections: DataFrame, groups:
     lines = connections.withColumn("label", connection_label(F.col("route"), F.col("via")))
     out = nested(articles, tags, "article", ["ordinal", "mechanism", "magnitude", "confidence"], "tags", ["ordinal"])
     out = nested(out, lines, "article", ["strength", "isin", "route", "via", "direction", "label"], "connections", ["isin", "route", "via"])
-    out = out.join(groups.select("article", "group_id", "size"), "article", "left").join(F.broadcast(labs.select("lab", F.col("label").alias("lab_label"))), "lab", "left")
+    out = out.join(groups.select("article", "group_id", "size"), "article", "left").join(labs.select("lab", F.col("label").alias("lab_label")), "lab", "left")
     best = F.round(100 * F.coalesce(F.array_max(F.transform("connections", lambda c: c["strength"])), F.lit(0.0)), 0)
     out = out.withColumn("lab_label", F.coalesce("lab_label", "lab")).withColumn("holding_score", best)
     return out.withColumn("rank_value", F.greatest("score", "holding_score")).withColumn("rank_min", F.least("score", "holding_score"))

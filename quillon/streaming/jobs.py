@@ -39,25 +39,32 @@ def first_of_episode(events: DataFrame, at: str, keys: list[str], late: str) ->
     return events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def capped_sessions(events: DataFrame, key: str, gap_s: int, span_s: int) -> DataFrame:
+def capped_sessions(events: DataFrame, key: str, gap_s: int, span_s: int, late: str) -> DataFrame:
     """I6 with a cap on the span, for events that arrive in order of time within a key (at: epoch seconds).
 
-    A session is put out when the event after it arrives."""
+    A session is put out when the event after it arrives, or when the watermark (the latest event less `late`) has
+    passed its gap; its state goes then."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, last, n = state.get if state.exists else (None, None, 0)
         closed = []
-        for at in sorted(t for batch in batches for t in batch["at"].tolist()):
-            if first is not None and (at - last > gap_s or at - first > span_s):
-                closed.append((k[0], first, last, n))
-                first, n = None, 0
-            first = at if first is None else first
-            last, n = at, n + 1
-        state.update((first, last, n))
+        if state.hasTimedOut:
+            closed.append((k[0], first, last, n))
+            state.remove()
+        else:
+            for at in sorted(t for batch in batches for t in batch["at"].tolist()):
+                if first is not None and (at - last > gap_s or at - first > span_s):
+                    closed.append((k[0], first, last, n))
+                    first, n = None, 0
+                first = at if first is None else first
+                last, n = at, n + 1
+            state.update((first, last, n))
+            state.setTimeoutTimestamp(max((last + gap_s) * 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(closed, columns=["key", "first_at", "last_at", "n"])
 
     out = "key long, first_at long, last_at long, n long"
-    return events.groupBy(key).applyInPandasWithState(step, out, "first long, last long, n long", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withColumn("_at", F.timestamp_seconds("at")).withWatermark("_at", late)
+    return rows.groupBy(key).applyInPandasWithState(step, out, "first long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def failure_streaks(events: DataFrame, key: str) -> DataFrame:

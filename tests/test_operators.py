@@ -250,3 +250,40 @@ def test_named_route_by_words(spark):
     got = J.named_route(spark.createDataFrame(texts, "article int, text string"), spark.createDataFrame(holdings, "isin string, name string, aliases array<string>, ticker string")).collect()
     assert sorted((r.article, r.isin, r.via.split(":")[0]) for r in got) == [(1, "a", "name"), (2, "b", "ticker"), (2, "c", "ticker")]
 
+
+
+MODELS = [
+    (1, "a", "tooling", "a/x", ["gpt-6-astra"], 0), (2, "a", "release", None, ["gpt-6-astra"], 3), (3, "a", "release", "", ["gpt-6"], 14), (4, "a", "story", None, ["gpt-6"], 0),
+    (5, "b", "release", None, ["gpt-6-astra"], 0), (6, "a", "release", None, ["gpt-6"], 15), (7, "a", "tooling", "a/y", ["gpt-6-astra"], 1), (8, "a", "tooling", "a/z", ["m-1", "m-2", "m-3", "gpt-6"], 0),
+    (9, "c", "tooling", "c/x", ["deepseek-v4", "deepseek-r2"], 0), (10, "c", "release", None, ["deepseek-v4", "deepseek-r2"], 0),
+]
+
+
+def test_releases_link_to_the_announcements_of_their_models(spark):
+    table = spark.createDataFrame([(*r[:5], day(r[5])) for r in MODELS], "id int, lab string, event_type string, repo string, models array<string>, day date")
+    want = [(1, 2, "gpt-6-astra"), (1, 3, "gpt-6"), (7, 2, "gpt-6-astra"), (7, 3, "gpt-6"), (7, 6, "gpt-6"), (9, 10, "deepseek-r2")]
+    assert sorted(map(tuple, J.release_links(table, ["release"], 14).collect())) == want
+    assert J.release_links(table.limit(0), ["release"], 14).count() == 0
+
+
+@pytest.mark.parametrize("most", [100, 2])
+def test_words_that_no_text_contains(spark, most):
+    words = spark.createDataFrame([("Abc",), ("bcd",), ("x",), ("zz",), ("",), (None,), ("cdef",), ("ccc",)], "w string")
+    texts = spark.createDataFrame([("xABCDE",), (None,), ("",), ("cdeg",)], "t string")
+    assert rows(J.not_contained(words, texts, "w", "t", most)) == [("ccc",), ("cdef",), ("zz",), (None,)]
+
+
+def test_titles_resolve_by_title_then_by_description(spark):
+    wanted = spark.createDataFrame([(1, "Large Models, Scaled", "d"), (2, "Sparse attention kernels", "d"), (3, "HyperAgents", "agents that modify themselves"), (4, "Nothing", "nothing known")], "id int, title string, description string")
+    kind = "id int, seq int, cand string, cand_title string, summary string"
+    exact = spark.createDataFrame([(1, 1, "p", "Other models", ""), (1, 2, "q", "large models scaled", ""), (2, 1, "r", "Sparse attention kernels revisited", ""), (3, 1, "s", "Unrelated work", "")], kind)
+    relaxed = spark.createDataFrame([(3, 1, "t", "x", "weather"), (3, 2, "u", "y", "agents modify code"), (3, 3, "v", "z", "agents modify code"), (4, 1, "w", "w", "weather")], kind)
+    assert rows(G.resolve_titles(wanted, exact, relaxed)) == [(1, "q", "exact_title"), (2, "r", "exact_title"), (3, "u", "relaxed_title")]
+
+
+def test_differences_say_what_they_would_change(spark):
+    base = spark.createDataFrame([(1, "t", 2.0), (1, "u", 5.0), (1, "x", 1.0), (2, "t", 1.0)], "k int, t string, v double")
+    other = spark.createDataFrame([(1, "t", 7.0), (1, "x", 0.5), (2, "t", 1.0), (3, "t", 4.0)], "k int, t string, v double")
+    best = lambda v: F.coalesce(F.array_max(v), F.lit(0.0))
+    got = E.label_impact(base, E.label_diff(other, base, "k", "t", "v"), "k", "t", "v", best)
+    assert rows(got.select("k", "t", "kind", "impact")) == [(1, "t", "differs", 2.0), (1, "u", "only_b", -3.0), (1, "x", "differs", 0.0), (3, "t", "only_a", 4.0)]
