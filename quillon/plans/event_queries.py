@@ -107,14 +107,17 @@ def _labelled(spark, d):
     return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
 
 
-@query(f"""WITH s AS (SELECT lang, list(doc_id) FILTER (quality = 0) AS r, list(doc_id) FILTER (toxic = 1) AS g FROM ({_LABELLED}) GROUP BY 1), h AS (SELECT lang, len(list_intersect(coalesce(r, []), coalesce(g, []))) AS hit, len(coalesce(r, [])) AS nr, len(coalesce(g, [])) AS ng FROM s),
+@query("""WITH s AS (SELECT CAST(quality = 0 AS INT) AS r1, CAST(toxic = 1 AS INT) AS r2, CAST(n_chars < 500 AS INT) AS g1, CAST(contains(lower(text), 'idiot') AS INT) AS g2 FROM labels JOIN documents USING (doc_id)),
+h AS (SELECT r1 * g1 + r2 * g2 AS hit, r1 + r2 AS nr, g1 + g2 AS ng FROM s),
 x AS (SELECT CAST(sum(hit) AS BIGINT) AS tp, CAST(sum(ng - hit) AS BIGINT) AS fp, CAST(sum(nr - hit) AS BIGINT) AS fn, count(*) FILTER (hit = nr AND hit = ng) AS identical,
- avg(CASE WHEN nr = 0 AND ng = 0 THEN 1 WHEN nr + ng = 0 OR hit = 0 THEN 0 ELSE 2 * (hit / ng) * (hit / nr) / ((hit / ng) + (hit / nr)) END) AS m FROM h)
+ avg(CASE WHEN nr = 0 AND ng = 0 THEN 1.0::DOUBLE WHEN hit = 0 THEN 0 ELSE 2 * (hit / ng) * (hit / nr) / ((hit / ng) + (hit / nr)) END) AS m FROM h)
 SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))), 6) AS f1, round(m, 6) AS macro_f1, identical FROM x""")
 def f1_micro(spark, d):
-    """Per language the set of low-quality documents against that of toxic ones."""
-    rows = _labelled(spark, d).groupBy("lang").agg(F.collect_list(F.when(F.col("quality") == 0, F.col("doc_id"))).alias("r"), F.collect_list(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("g"))
-    out = E.axis(rows, "r", "g")
+    """A document's set of labels against the set that plain rules give it."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    told = F.array_compact(F.array(F.when(F.col("quality") == 0, "low"), F.when(F.col("toxic") == 1, "toxic")))
+    guess = F.array_compact(F.array(F.when(F.col("n_chars") < 500, "low"), F.when(F.contains(F.lower("text"), F.lit("idiot")), "toxic")))
+    out = E.axis(rows.select(told.alias("r"), guess.alias("g")), "r", "g")
     return out.select(*[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")], "precision", "recall", "f1", "macro_f1", "identical")
 
 

@@ -50,7 +50,7 @@ def _category_tags(spark, d):
 
 
 def _membership(spark, d):
-    return table(spark, d, "part").select(F.col("p_brand").alias("isin"), F.col("p_type").alias("category")).where("p_size >= 45").distinct()
+    return table(spark, d, "part").select(F.col("p_brand").alias("isin"), F.col("p_type").alias("category")).distinct()
 
 
 def _routable(spark, d):
@@ -59,7 +59,7 @@ def _routable(spark, d):
 
 _CAT_SQL = f"""
 ct AS (SELECT l_orderkey AS article, p_type AS category, {_SIGN} AS sign, {_DISC} AS c FROM lineitem JOIN part ON l_partkey = p_partkey),
-mem AS (SELECT DISTINCT p_brand AS isin, p_type AS category FROM part WHERE p_size >= 45),
+mem AS (SELECT DISTINCT p_brand AS isin, p_type AS category FROM part),
 cat AS (SELECT article, isin, 'category' AS route, category AS via, sign AS direction, round({_WEIGHT("'high'", 'c')} * 0.5::DOUBLE, 4) AS strength
  FROM ct JOIN mem USING (category) WHERE category <> 'PROMO')"""
 
@@ -166,16 +166,17 @@ def band_self_join(spark, d):
 _TOKENS = "unnest(regexp_extract_all(lower({0}), '[a-z]{{6,}}'))"
 
 
-@query("""WITH a AS (SELECT DISTINCT doc_id AS a, lang, d1, w FROM (SELECT doc_id, lang, CAST(n_chars % 90 AS BIGINT) AS d1, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM documents WHERE source IN ('src1', 'src2'))),
-b AS (SELECT DISTINCT doc_id AS b, lang, d1 AS d2, w FROM (SELECT doc_id, lang, CAST(n_chars % 90 AS BIGINT) AS d1, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM documents WHERE source = 'src3'))
-SELECT a, b, (arg_min(w, (-length(w), w))) AS evidence FROM a JOIN b USING (lang, w) WHERE abs(d1 - d2) <= 7 GROUP BY a, b""")
+@query("""WITH w AS (SELECT p_partkey AS id, p_brand AS lab, p_type, p_partkey % 90 AS day, unnest(string_split(p_name, ' ')) || '-' || (p_size % 3) AS stem FROM part),
+m AS (SELECT id, lab, p_type, day, unnest([stem, stem || '-' || lower(p_type)]) AS word FROM w), r AS (SELECT * FROM m WHERE p_type IN ('STANDARD', 'SMALL')), t AS (SELECT * FROM m WHERE p_type IN ('LARGE', 'ECONOMY', 'MEDIUM'))
+SELECT r.id AS a, t.id AS b, arg_min(r.word, (-length(r.word), r.word)) AS evidence FROM r JOIN t USING (lab, word) WHERE abs(r.day - t.day) <= 7 GROUP BY ALL""")
 def set_overlap_links(spark, d):
-    """Documents of two sources and one language that share a long word within seven days (a stand-in date)."""
-    docs = table(spark, d, "documents").select(
-        F.col("doc_id").alias("id"), "lang", "source", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 90).cast("int")).alias("day"),
-        F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{9,})"), F.lit(1)).alias("words"),
+    """Parts as releases and announcements of a brand's models, within seven days (a stand-in date)."""
+    models = F.transform(F.split("p_name", " "), lambda w: F.concat_ws("-", w, (F.col("p_size") % 3).cast("string"), F.lower("p_type")))
+    rows = table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("lab"), F.col("p_type").alias("event_type"), F.when(F.col("p_type").isin("STANDARD", "SMALL"), F.col("p_name")).alias("repo"),
+        models.alias("models"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 90).cast("int")).alias("day"),
     )
-    return J.overlap_links(docs.where("source in ('src1', 'src2')"), docs.where("source = 'src3'"), "lang", "words", "day", 7)
+    return J.release_links(rows, ["LARGE", "ECONOMY", "MEDIUM"], 7)
 
 
 @query("""SELECT c.event_id, c.user_id, p.event_id AS purchase_id, p.value AS purchase_value FROM (SELECT * FROM events WHERE event_type = 'click') c
@@ -262,11 +263,11 @@ def nested_items(spark, d):
     return rows.select("o_orderkey", F.size("lines").cast("long").alias("n_lines"), keys.alias("keys"))
 
 
-@query("""WITH l AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 45), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l)
+@query("""WITH l AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l)
 SELECT a, count(*) AS n FROM s WHERE a IN (SELECT p_partkey FROM part WHERE p_size > 10) AND b IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY a""")
 def links_both_ways(spark, d):
     """Links from either end, both ends in the rendered set."""
-    links = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.lit("with").alias("relation")).distinct()
+    links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.lit("with").alias("relation")).distinct()
     ids = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("id"))
     return J.both_ways(links, ids).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.functions.maths import dot, normalised
 from quillon.operators import graph as G
 from quillon.operators import readmodels as R
 from quillon.operators import topk as K
@@ -119,33 +118,29 @@ def corpus_union(spark, d):
     return docs.unionByName(items).unionByName(talks)
 
 
-def _unit(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", "label", normalised(F.col("embedding")).alias("u"))
+def _gated(spark, d):
+    """Pairs of vectors of one label, one kind (a stand-in) and at most 14 days (a stand-in date) apart."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 60).cast("int"))
+    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding", (F.col("vec_id") % 7 % 2).alias("kind"), day.alias("day"))
+    return G.gated_pairs(rows, "vec_id", "label", "day", "kind", "embedding", 14, 0.5, 0.4)
 
 
-def _pairs(spark, d):
-    a = _unit(spark, d)
-    b = a.select(F.col("vec_id").alias("b"), "label", F.col("u").alias("v"))
-    pairs = a.withColumnRenamed("vec_id", "a").join(b, "label").where("a < b")
-    return pairs.withColumn("cosine", F.round(dot(F.col("u"), F.col("v")), 4) + F.lit(0.0)).drop("u", "v")
+_COSINE = """SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cosine FROM embeddings a JOIN embeddings b
+ ON a.label = b.label AND a.vec_id % 7 % 2 = b.vec_id % 7 % 2 AND abs(a.vec_id % 60 - b.vec_id % 60) <= 14 AND a.vec_id < b.vec_id"""
 
 
-_COSINE = "SELECT a.vec_id AS a, b.vec_id AS b, a.label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) + 0 AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id"
-
-
-@query(f"SELECT a, b, cosine, CASE WHEN cosine >= 0.5 THEN 'merge' WHEN cosine >= 0.4 THEN 'defer' ELSE 'apart' END AS gate FROM ({_COSINE}) WHERE cosine >= 0.3")
+@query(f"SELECT a, b, round(cosine, 4) + 0 AS cosine, CASE WHEN cosine >= 0.5 THEN 'merge' WHEN cosine >= 0.4 THEN 'defer' ELSE 'apart' END AS gate FROM ({_COSINE})")
 def cosine_gate(spark, d):
-    """Pairs inside a label; vectors are scaled once, before the join."""
-    gate = F.when(F.col("cosine") >= 0.5, "merge").when(F.col("cosine") >= 0.4, "defer").otherwise("apart")
-    return _pairs(spark, d).where("cosine >= 0.3").select("a", "b", "cosine", gate.alias("gate"))
+    """Vectors are scaled once, before the join on label, kind and bucket of days."""
+    return _gated(spark, d).select("a", "b", (F.round("cosine", 4) + F.lit(0.0)).alias("cosine"), "gate")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_COSINE}) WHERE cosine >= 0.4), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, reach) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.reach = s.a), g AS (SELECT node, min(reach) AS group_id FROM r GROUP BY 1),
 w AS (SELECT v.vec_id, coalesce(g.group_id, v.vec_id) AS group_id FROM embeddings v LEFT JOIN g ON v.vec_id = g.node) SELECT vec_id, group_id, count(*) OVER (PARTITION BY group_id) AS size FROM w""")
 def components(spark, d):
-    """G3, G5, G6."""
-    edges = _pairs(spark, d).where("cosine >= 0.4").select("a", "b", F.lit("gated").alias("method"))
+    """Groups of the vectors that the gate merges or defers."""
+    edges = _gated(spark, d).where("gate <> 'apart'").select("a", "b", F.lit("gated").alias("method"))
     return G.groups_with_evidence(table(spark, d, "embeddings").select("vec_id"), "vec_id", edges).select("vec_id", "group_id", "size")
 
 
@@ -158,12 +153,11 @@ def alias_fixpoint(spark, d):
     return G.collapse_chains(links)
 
 
-@query("""WITH m AS (SELECT DISTINCT p_brand || '/' || p_type AS g, l_suppkey AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_discount > 0.08)
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS s FROM lineitem)
 SELECT a.s AS a, b.s AS b, count(*) AS common FROM m a JOIN m b ON a.g = b.g AND a.s < b.s GROUP BY ALL HAVING count(*) >= 2""")
 def coauthor(spark, d):
-    """Suppliers that meet in the same brand and type of large, cheap lines."""
-    rows = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount > 0.08").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return G.co_occurrence(rows.select(F.concat_ws("/", "p_brand", "p_type").alias("g"), F.col("l_suppkey").alias("s")), "g", "s", 2)
+    """Suppliers that meet in two orders or more."""
+    return G.co_occurrence(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey", 2)
 
 
 @query("""WITH s AS (SELECT quality = 0 AS bad, n_chars / 1000.0::DOUBLE AS score FROM labels JOIN documents USING (doc_id)), g AS (SELECT unnest([0.5, 1.0, 2.0, 4.0, 8.0])::DOUBLE AS threshold),
