@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.memory import trimmed
 from quillon.llm.words import raw_texts, words
 from quillon.scratch import cut
 
@@ -255,7 +256,7 @@ def _summed(table: pa.Table) -> pa.Table:
 def lessons(pool: DataFrame, widths: dict[str, int], heads: dict[str, Head]) -> dict[tuple[str, str], Lesson]:
     """What each view teaches the other about all of the pool. A strip has one row for each task, so tasks are few."""
     tasks = 2 * pool.sparkSession.sparkContext.defaultParallelism
-    parts = pool.select(*VIEWS).coalesce(tasks).mapInArrow(lambda it: _lessons(it, widths, heads), _LESSON)
+    parts = pool.select(*VIEWS).coalesce(tasks).mapInArrow(lambda it: trimmed(_lessons(it, widths, heads)), _LESSON)
     rows = parts.groupBy("head", "view", "strip").applyInArrow(_summed, _LESSON).toArrow().sort_by([("head", "ascending"), ("view", "ascending"), ("strip", "ascending")])
     found: dict[tuple[str, str], list[np.ndarray]] = {}
     for head, view, values in zip(rows["head"].to_pylist(), rows["view"].to_pylist(), rows["values"]):
@@ -332,7 +333,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, max_lab
     rows = rows.groupBy("id", *HEADS, "held").agg(F.max(F.struct("text", "lang", "source")).alias("d")).select("id", *HEADS, "held", "d.*")
     columns = [T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name != "text"]
     schema = T.StructType([*columns, T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("numbers", T.ArrayType(T.DoubleType()))])
-    return cut(rows.mapInArrow(_examples, schema), "examples")
+    return cut(rows.mapInArrow(lambda it: trimmed(_examples(it)), schema), "examples")
 
 
 def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -351,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     union = sorted({w for ws in telling.values() for w in ws})
     coder = Coder(union, edges, facets)
     # At most max_labelled rows of small numbers.
-    table = examples.mapInArrow(lambda it: _recoded(it, coder), "id long, low int, toxic int, held boolean, text array<int>, meta array<int>").toArrow().sort_by("id")
+    table = examples.mapInArrow(lambda it: trimmed(_recoded(it, coder)), "id long, low int, toxic int, held boolean, text array<int>, meta array<int>").toArrow().sort_by("id")
     if not table.num_rows:
         return coder, {head: 0.0 for head in HEADS}
     x = {v: _dense(table[v].to_pylist(), coder.widths[v]).astype(np.float32) for v in VIEWS}
@@ -363,7 +364,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         if not pool:  # written only if a head can learn
             ids = cut(labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), "ids")
             id_type = docs.schema[id_col].dataType.simpleString()
-            coded = _rows(docs, id_col, text).mapInArrow(lambda it: _coded(it, coder), f"id {id_type}, text array<int>, meta array<int>")
+            coded = _rows(docs, id_col, text).mapInArrow(lambda it: trimmed(_coded(it, coder)), f"id {id_type}, text array<int>, meta array<int>")
             coded = cut(coded, "coded")
             pool.append(coded.where("id is not null").join(ids, "id", "left_anti").select(*VIEWS).unionByName(coded.where("id is null").select(*VIEWS)))
         return lessons(pool[0], coder.widths, heads)
@@ -407,5 +408,5 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", **options) ->
     docs = docs.drop(*_RESULTS, "keep")
     coder, heads = fit(docs, labels, text=text, **options)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in _RESULTS)])
-    out = docs.mapInArrow(lambda it: _score(it, coder, heads, text), schema)
+    out = docs.mapInArrow(lambda it: trimmed(_score(it, coder, heads, text)), schema)
     return out.withColumn("keep", (F.col("p_low") < 0.5) & (F.col("p_toxic") < 0.5))

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.components import components
 from quillon.scratch import cut
+from quillon.llm.memory import trimmed
 from quillon.llm.words import WORD_BYTES, raw_texts
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 4, 0.8
@@ -190,7 +191,7 @@ def near_duplicates(
     distinct text, a node, which is named by its least id; the class of a node without a link is itself."""
     source = _nodes(docs, id_col, text)
     schema = "id long, digest binary, bands array<long>, weight long, odd array<long>, cells array<int>"
-    sketches = cut(source.mapInArrow(lambda it: _sketch(it, bands, rows, width), schema), "sketches")
+    sketches = cut(source.mapInArrow(lambda it: trimmed(_sketch(it, bands, rows, width)), schema), "sketches")
     stand_in = F.lit(_NO_ID) - F.pmod(F.xxhash64("digest"), F.lit(1 << 60))
     texts = sketches.where(F.col("digest").isNotNull()).groupBy("digest").agg(
         F.coalesce(F.min("id"), stand_in).alias("node"), F.max("bands").alias("bands"), F.max("weight").alias("weight"), F.max("odd").alias("odd")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.memory import trimmed
 from quillon.llm.words import raw_texts, words
 
 N = 13
@@ -137,7 +138,7 @@ def decontaminate(
         block = [(r.i, r.t.encode("utf-8", "surrogatepass")) for r in rows.collect()]
         shared = spark.sparkContext.broadcast(block)
         key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}" if shared._jbroadcast else str(id(shared))
-        out = out.mapInArrow(lambda it, shared=shared, key=key: _scan(it, shared, key, n, text), schema)
+        out = out.mapInArrow(lambda it, shared=shared, key=key: trimmed(_scan(it, shared, key, n, text)), schema)
     hit = F.aggregate(
         F.transform("_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x
     )

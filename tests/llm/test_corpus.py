@@ -312,3 +312,12 @@ def test_pipeline_stages(spark, sf_dir):
     mixed = corpus_pipeline.mix(spark, hidden, sf_dir)
     assert {"doc_id", "text", "copy_no", "taken"} <= set(mixed.columns) and mixed.count() > 0
     assert corpus_pipeline.run(spark, sf_dir).count() == mixed.count()
+
+
+def test_trimmed_passes_every_batch_on():
+    import pyarrow as pa
+
+    from quillon.llm.memory import trimmed
+
+    batches = [pa.RecordBatch.from_pydict({"a": list(range(n))}) for n in (3, 0, 5)]
+    assert [b.num_rows for b in trimmed(iter(batches))] == [3, 0, 5] and list(trimmed(iter([]))) == []
