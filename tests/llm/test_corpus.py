@@ -88,6 +88,22 @@ def test_near_copies_inside_a_template_family(spark):
     assert got == want
 
 
+def test_few_pairs_of_a_large_family_are_compared_in_full(spark, monkeypatch):
+    """A family whose members share buckets without being near: the bounds leave little to the exact comparison."""
+    rng = random.Random(12)
+    template, compared = [f"t{k}" for k in range(300)], []
+    rows = []
+    for _ in range(300):
+        places = set(rng.sample(range(300), 9))
+        rows.append((len(rows), " ".join(f"w{rng.randrange(10**9)}" if k in places else w for k, w in enumerate(template))))
+    rows += [(len(rows) + k, rows[k][1] + " end") for k in range(20)]
+    exact = dartminhash.confirmed
+    monkeypatch.setattr(dartminhash, "confirmed", lambda sketches, texts, pairs, similarity: compared.append(pairs.count()) or exact(sketches, texts, pairs, similarity))
+    got = {r.doc_id: r.class_id for r in dartminhash.dedup_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows) and len(set(got.values())) >= 290
+    assert 20 <= sum(compared) < len(rows)
+
+
 def test_null_ids_repeated_rows_and_clashing_names(spark):
     rows = [(None, "alpha beta gamma", "k", 1), (None, "alpha beta gamma", "k", 1), (7, "alpha beta gamma", "k", 2), (7, "alpha beta gamma", "k", 2), (9, None, "k", 3), (None, "only nulls here", "k", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node string, bands int")
