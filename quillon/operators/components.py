@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.scratch import cut, drop
 
+#: Edges that a file of a round's table holds.
+PER_FILE = 100_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
     """(node, root) with root the least node of the component, by alternating large-star and small-star rounds.
@@ -22,7 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        # No round makes more edges than it read.
+        new = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", -(-mark[0] // PER_FILE) or 1)
         drop(now)
         was, mark, now = mark, _mark(new), new
         if mark == was:

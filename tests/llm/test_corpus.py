@@ -104,6 +104,35 @@ def test_few_pairs_of_a_large_family_are_compared_in_full(spark, monkeypatch):
     assert 20 <= sum(compared) < len(rows)
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are; each file costs an executor processes."""
+    from quillon import scratch
+    from quillon.operators import components
+
+    files = {}
+
+    def cut(df, name, *most):
+        back = scratch.cut(df, name, *most)
+        files.setdefault(name, []).append(len(back.inputFiles()))
+        return back
+
+    monkeypatch.setattr(dartminhash, "cut", cut)
+    monkeypatch.setattr(components, "cut", cut)
+    asked = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in asked}
+    rows = corpus()
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.class_id for r in dartminhash.dedup_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == classes(rows)
+    small = [n for name, ns in files.items() for n in (ns[1:] if name == "edges" else ns) if name not in ("sketches", "texts", "rest")]
+    assert len(small) > 12 and max(small) <= 2
+
+
 def test_null_ids_repeated_rows_and_clashing_names(spark):
     rows = [(None, "alpha beta gamma", "k", 1), (None, "alpha beta gamma", "k", 1), (7, "alpha beta gamma", "k", 2), (7, "alpha beta gamma", "k", 2), (9, None, "k", 3), (None, "only nulls here", "k", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node string, bands int")
