@@ -213,6 +213,27 @@ def test_host_boilerplate_goes_whatever_the_shards(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_repeats_tell_the_article_from_a_card(spark):
+    """Pages with an article element and unmarked blocks: the suffix array decides which is the text."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(n))
+    card = "read also what our readers liked best in the past week"
+    pages, want = [], {}
+    for i in range(30):
+        # A card on every page; a page's own article with a remark; versions of one article with a changing remark.
+        own, remark = words(40), words(9)
+        pages.append((i, f"http://a.org/{i}", f"<nav>x</nav><article>{card}</article><div>{own}</div>"))
+        pages.append((100 + i, f"http://b.org/{i}", f"<article><p>{own}</p><p>{card}</p></article><div>{words(60)}</div><footer>{card}</footer>"))
+        pages.append((200 + i, f"http://c.org/{i}", f"<main>{' '.join(f'b{k}' for k in range(60))}</main><div>{remark}</div>"))
+        want |= {i: own, 100 + i: f"{own}\n{card}", 200 + i: " ".join(f"b{k}" for k in range(60))}
+    # A lone page's article is the text whatever stands beside it.
+    pages.append((300, "http://d.org/", f"<article>{card}</article><div>{words(50)}</div>"))
+    want[300] = card
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for limit in (1 << 20, 200):
+        assert {r.page_id: r.text for r in html_extract.extract(df, shard_tokens=limit).collect()} == want
+
+
 def test_articles_of_the_pages_table(spark, sf_dir):
     import html
 
