@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -104,6 +105,64 @@ def test_few_pairs_of_a_large_family_are_compared_in_full(spark, monkeypatch):
     assert 20 <= sum(compared) < len(rows)
 
 
+def test_pairs_across_classes_grow_with_the_members(spark, monkeypatch):
+    """Two large classes of one family with very many links between them: a few pairs join them."""
+    rng = random.Random(14)
+    template, compared = [f"t{k}" for k in range(150)], []
+    rows = []
+    for k in range(700):
+        places = rng.sample(range(150), rng.choice([1, 2, 2, 3, 5, 8]))
+        rows.append((k, " ".join(f"w{rng.randrange(40)}" if p in places else w for p, w in enumerate(template))))
+    kinds = {"led": 0, "rest": 0}
+    exact, cut = dartminhash.confirmed, dartminhash.cut
+
+    def counted(df, name, *most):
+        back = cut(df, name, *most)
+        if name in kinds:
+            kinds[name] += back.count()
+        return back
+
+    monkeypatch.setattr(dartminhash, "confirmed", lambda sketches, texts, pairs, similarity: compared.append(pairs.count()) or exact(sketches, texts, pairs, similarity))
+    monkeypatch.setattr(dartminhash, "cut", counted)
+    got = {r.doc_id: r.class_id for r in dartminhash.dedup_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows) and len(set(got.values())) > 100
+    assert kinds["led"] + kinds["rest"] < len(rows) and sum(compared[1:]) < len(rows), (kinds, compared)
+
+
+@pytest.mark.parametrize("slots", [1 << 20, 1 << 12])
+def test_near_texts_meet_in_a_list(slots, monkeypatch):
+    """Also where many regions share a counter; texts of different sizes, down to a single region."""
+    monkeypatch.setattr(dartminhash, "SLOTS", slots)
+    rng = np.random.default_rng(15)
+    sets = [rng.integers(0, 1 << 32, size) for size in (1, 1, 2, 5, 9, 60, 200)]
+    for _ in range(300):
+        base = sets[rng.integers(len(sets))]
+        base = base[rng.random(len(base)) > rng.choice([0, 0.05, 0.1])]
+        sets.append(np.append(base, rng.integers(0, 1 << 32, rng.integers(0, len(base) // 8 + 1))))
+    sets = [s for s in sets if len(s)]
+    cells = dartminhash._lists(np.concatenate(sets).astype(np.uint32).view(np.int32), np.array([len(s) for s in sets]), pa.int32())
+    ids = pa.array(range(len(sets)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, cells], names=["node", "class", "cells"]).slice(1)
+    batches = [batch.slice(0, 100), batch.slice(100)]
+    table = pa.Table.from_batches(list(dartminhash._slots(b.select(["cells"]) for b in batches)))
+    counts = np.zeros((slots // dartminhash.SLOT_ROW, dartminhash.SLOT_ROW), np.uint32)
+    for row, raw in zip(*table.to_pydict().values(), strict=True):
+        counts[row] = np.frombuffer(raw, np.int64)
+    assert counts.sum() == sum(len(s) for s in sets[1:])
+    lists, size = {}, {}
+    for r in pa.Table.from_batches(list(dartminhash._prefixes(iter(batches), counts.reshape(-1), 0.8))).to_pylist():
+        lists.setdefault(r["region"], []).append((r["node"], r["place"]))
+        size[r["node"]] = r["size"]
+
+    def until(a, b):
+        return len(set(sets[a])) - int(np.ceil(0.8 / 1.8 * (len(set(sets[a])) + len(set(sets[b]))) - 1e-6)) + 1
+
+    met = {(a, b) for members in lists.values() for a, p in members for b, q in members if a < b and p < until(a, b) and q < until(b, a)}
+    near = {(a, b) for a in range(1, len(sets)) for b in range(a + 1, len(sets)) if 10 * (same := len(set(sets[a].tolist()) & set(sets[b].tolist()))) >= 8 * (len(sets[a]) + len(sets[b]) - same)}
+    assert len(near) > 500 and near <= met
+    assert all(size[a] == len(sets[a]) for a in size)
+
+
 def test_small_tables_are_few_files(spark, monkeypatch):
     """However many shuffle partitions there are; each file costs an executor processes."""
     from quillon import scratch
