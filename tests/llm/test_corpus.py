@@ -293,6 +293,27 @@ def test_repeats_tell_the_article_from_a_card(spark):
         assert {r.page_id: r.text for r in html_extract.extract(df, shard_tokens=limit).collect()} == want
 
 
+def test_pages_without_open_blocks_are_evidence_in_full(spark):
+    """Articles of one host under the same menu are as many pages, their passages count, and every page is looked at."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(n))
+    menu, passage = " ".join(f"m{k}" for k in range(12)), " ".join(f"p{k}" for k in range(10))
+    pages, want = [], {}
+    for i in range(40):
+        own = words(30)
+        pages.append((i, f"http://a.org/{i}", f"<nav>{menu}</nav><article>{own}</article>"))
+        pages.append((100 + i, f"http://b.org/{i}", f"<article><p>{own}</p><p>{passage}</p></article>"))
+        want |= {i: (own, 12), 100 + i: (f"{own}\n{passage}", 10)}
+    own = words(30)
+    pages += [(200, "http://a.org/x", f"<div>{menu}</div><div>{own}</div>"), (201, "http://b.org/x", f"<div>{passage}</div><div>{own}</div>")]
+    pages += [(202, "http://c.org/x", f"<nav>{menu}</nav><article>{own}</article>"), (203, None, None)]
+    want |= {200: (own, 12), 201: (own, 10), 202: (own, 0), 203: ("", 0)}
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for limit, most in ((1 << 20, 1 << 21), (60, 2)):
+        out = html_extract.extract(df, shard_tokens=limit, per_pass=most).collect()
+        assert {r.page_id: (r.text, r.n_repeated) for r in out} == want and len(out) == len(pages)
+
+
 def test_articles_of_the_pages_table(spark, sf_dir):
     import html
 
