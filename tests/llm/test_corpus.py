@@ -192,6 +192,29 @@ def test_small_tables_are_few_files(spark, monkeypatch):
     assert len(small) > 12 and max(small) <= 2
 
 
+def test_both_sides_of_a_list_share_a_shuffle(spark, monkeypatch):
+    """Whatever the number of blocks, every two members of different classes meet once."""
+    monkeypatch.setattr(dartminhash, "BLOCK", 2)
+    asked = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in asked}
+    rows = [(region, node, node, 10, 0, 10, [0] * dartminhash.PARITIES) for region in range(3) for node in range(2 * region, 9)]
+    lists = spark.createDataFrame(rows, "region int, node long, class long, size int, place int, weight long, odd array<long>")
+    found = spark.createDataFrame([(3, 3), (5, 3)], "node long, root long")
+    texts = lists.groupBy("node").agg({"weight": "max", "odd": "max"}).toDF("node", "weight", "odd")
+    pairs = spark.createDataFrame([(1, 2, 1, 2, 0), (1, 8, 1, 8, 0)], "a long, b long, lead long, other long, salt long")
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        met = dartminhash.across_classes(lists, found, 0.8, 1)
+        assert {tuple(r) for r in met.collect()} == {(a, b) for a in range(9) for b in range(a + 1, 9)} - {(3, 5)} and met.count() == 35
+        assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()
+        few = dartminhash.possible(texts.localCheckpoint(), pairs, 0.8)
+        assert few.count() == 2 and "hashpartitioning(node" not in few._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_null_ids_repeated_rows_and_clashing_names(spark):
     rows = [(None, "alpha beta gamma", "k", 1), (None, "alpha beta gamma", "k", 1), (7, "alpha beta gamma", "k", 2), (7, "alpha beta gamma", "k", 2), (9, None, "k", 3), (None, "only nulls here", "k", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node string, bands int")
