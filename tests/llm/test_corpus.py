@@ -215,6 +215,22 @@ def test_both_sides_of_a_list_share_a_shuffle(spark, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_the_driver_hands_memory_back_on_the_way(spark, monkeypatch):
+    from quillon.llm import memory
+
+    runtime, calls = spark._jvm.java.lang.Runtime.getRuntime(), []
+    used = lambda: (runtime.totalMemory() - runtime.freeMemory()) >> 20
+    memory.relieve(spark)
+    least = used()
+    for _ in range(8):
+        spark._jvm.java.lang.String.valueOf("x" * (16 << 20))
+    assert memory.relieve(spark) and used() < least + 40
+    monkeypatch.setattr(dartminhash, "relieve", lambda session: calls.append(memory.relieve(session)))
+    rows = corpus()
+    assert {r.doc_id: r.class_id for r in dartminhash.dedup_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == classes(rows)
+    assert len(calls) >= 3
+
+
 def test_null_ids_repeated_rows_and_clashing_names(spark):
     rows = [(None, "alpha beta gamma", "k", 1), (None, "alpha beta gamma", "k", 1), (7, "alpha beta gamma", "k", 2), (7, "alpha beta gamma", "k", 2), (9, None, "k", 3), (None, "only nulls here", "k", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node string, bands int")
